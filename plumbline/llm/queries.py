@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html_text, jaccard_join, langid, packing, piece_bpe, quality, sharding, url_filter
+from plumbline.llm import html_text, jaccard_join, langid, packing, pii, piece_bpe, quality, sharding, url_filter
 from plumbline.llm._common import table
 
 #: Production limit of a shard, in bytes of text.
@@ -57,6 +57,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), url_filter.UrlPolicy(RULES))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"), with_ids=False)
 
@@ -78,7 +82,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_url_filter, op5_sentencepiece, op6_jaccard_join, op8_sharding, op9_packing, op10_quality_rules, pages_language_id)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_url_filter, op4_pii, op5_sentencepiece, op6_jaccard_join, op8_sharding, op9_packing, op10_quality_rules, pages_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
