@@ -87,6 +87,31 @@ def _joined(spans: Column) -> Column:
     return F.array_join(text, ",")
 
 
+def redact(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The frame with every span of its texts replaced by ``<kind>``; overlapping spans go together.
+
+    n_chars, where the frame has it, is counted anew. Texts without a span and
+    null texts stay; all columns stay. Rows are matched by id and text.
+    """
+    spans = _spans(df, doc_id, text, **options).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.array_sort("all").alias("_spans"))
+    spans = spans.where(F.size("_spans") > 0).dropDuplicates(["_id", "_key"])
+    t = F.col(f"`{text}`")
+    at = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(t, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
+        mark = F.when(x["s"] >= acc["at"], F.concat(gap, F.lit("<"), x["kind"], F.lit(">"))).otherwise("")
+        return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+
+    clean = F.aggregate("_spans", at, step, lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    # Only rows with a span meet the other side; the join moves ids, the text stays on its side.
+    out = df.withColumn("_key2", F.xxhash64(t)).join(spans, F.col(f"`{doc_id}`").eqNullSafe(F.col("_id")) & (F.col("_key2") == F.col("_key")), "left")
+    out = out.withColumn(text, F.when(F.col("_spans").isNotNull(), clean).otherwise(t))
+    if "n_chars" in df.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length(F.col(f"`{text}`")).cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, min_seeds: int = 5, min_score: float = 0.75, min_digits: int = 4) -> DataFrame:
     """Spans of personal data in every whole text.
 
@@ -98,6 +123,13 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     counts as empty; repeated rows are all answered; other columns are ignored;
     an empty table gives an empty table.
     """
+    out = _spans(df, doc_id, text, rounds, min_seeds, min_score, min_digits)
+    counts = [_count(k).alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), (F.size("all") - F.size("base")).cast("long").alias("n_found"))
+
+
+def _spans(df: DataFrame, doc_id: str, text: str, rounds: int = 3, min_seeds: int = 5, min_score: float = 0.75, min_digits: int = 4) -> DataFrame:
+    """doc_id, key (a hash of the text), base and all spans of every row."""
     scratch = Scratch(df.sparkSession)
     t = F.coalesce(F.col("text"), F.lit(""))
     number = t.rlike("[0-9]")
@@ -130,6 +162,5 @@ def find_personal_data(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     found = found.agg(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("i"), F.lit("id").alias("kind"), "e")).alias("more"))
 
     out = docs.join(found, docs.doc_id.eqNullSafe(found.found_id) & (docs.key == found.found_key), "left")
-    counts = [_count(k).alias(f"n_{k}") for k in KINDS]
     more = F.coalesce("more", F.array().cast("array<struct<s:int,i:int,kind:string,e:int>>"))
-    return out.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", more)).alias("spans"), F.size(more).cast("long").alias("n_found"))
+    return out.select("doc_id", "key", "base", F.concat("base", more).alias("all"))

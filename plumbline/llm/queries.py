@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import html_text, jaccard_join, langid, packing, pii, piece_bpe, quality, sharding, url_filter
+from plumbline.llm import html_text, jaccard_join, langid, media, packing, pii, piece_bpe, quality, sharding, url_filter
 from plumbline.llm._common import table
 
 #: Production limit of a shard, in bytes of text.
@@ -69,6 +69,12 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of all vectors; every hundredth asks for its copies among all."""
+    vectors = media.picture_column(table(spark, sf_dir, "embeddings"), "embedding")
+    return media.find_copies(vectors, F.col("picture"), "vec_id", F.col("vec_id") % 100 == 0)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
@@ -82,7 +88,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_url_filter, op4_pii, op5_sentencepiece, op6_jaccard_join, op8_sharding, op9_packing, op10_quality_rules, pages_language_id)}
+    return {f.__name__: f for f in (op1_language_id, op2_html_extraction, op3_url_filter, op4_pii, op5_sentencepiece, op6_jaccard_join, op7_media_copies, op8_sharding, op9_packing, op10_quality_rules, pages_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
