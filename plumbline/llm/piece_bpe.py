@@ -36,6 +36,8 @@ class PieceBpe:
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.id_byte = {i: b for b, i in self.byte_id.items()}
+        self.last_byte = max(self.id_byte, default=-1)
+        self.plain = [p.replace(SPACE, " ") for p in self.pieces]
         self.silent = {i for i in range(n) if sp.is_control(i)}
         normal = {self.pieces[i]: i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         score = {p: sp.get_score(i) for p, i in normal.items()}
@@ -59,6 +61,8 @@ class PieceBpe:
         self.keys = np.array(keys, dtype=np.int64)[by]
         self.ranks = np.array(ranks, dtype=np.int64)[by]
         self.merged = np.array(merged, dtype=np.int64)[by]
+        #: No piece spans a line feed: words may end there.
+        self.lines = not any("\n" in p and len(p) > 1 for p in normal)
         self.risky = np.zeros(len(order) + 1, dtype=bool)
         self.risky[list(risky)] = True
 
@@ -148,6 +152,12 @@ class PieceBpe:
             out.append(_utf8(held))
         return "".join(out)
 
+    def inside(self, ids: list[int], prefix: bool) -> str:
+        """Text of ids within a text: the dummy prefix, or any other, stays."""
+        if ids and min(ids) > self.last_byte:
+            return "".join(map(self.plain.__getitem__, ids))
+        return (" " if prefix else "") + self.decode(ids)
+
 
 def _utf8(held: bytearray) -> str:
     """Bytes as text; each byte that is no part of a character becomes U+FFFD."""
@@ -166,7 +176,7 @@ def _utf8(held: bytearray) -> str:
     return "".join(out)
 
 
-def encode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", cache_words: int = 300_000, with_ids: bool = True) -> DataFrame:
+def encode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", cache_words: int = 600_000, with_ids: bool = True) -> DataFrame:
     """Encode and decode every whole text; rows do not move.
 
     Returns doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas),
@@ -182,17 +192,25 @@ def encode_documents(df: DataFrame, model_path: str, doc_id: str = "doc_id", tex
 
         def learn(words: list[str]) -> dict:
             got = {}
-            for w, ids in zip(words, model.encode_words([SPACE + w for w in words]), strict=True):
+            raw = [w if model.lines and w[:1] == "\n" else SPACE + w for w in words]
+            for w, whole, ids in zip(words, raw, model.encode_words(raw), strict=True):
                 got[w] = ",".join(map(str, ids))
-                text_of[w] = " " + model.decode(ids)
+                text_of[w] = model.inside(ids, whole[0] == SPACE)
             return got
 
+        def lines(word: str) -> list[str]:
+            first, *more = word.split("\n")
+            return [first, *["\n" + x for x in more]]
+
         def work(part):
             rows = []
             for t in texts(part):
-                words = t.replace(SPACE, " ").split(" ") if t else []
-                if "" in words:  # runs of spaces: a word keeps them all but its own prefix
-                    words = [w[1:] for w in PieceBpe.split(t)]
+                plain = t.replace(SPACE, " ")
+                odd = "  " in plain or plain[:1] in ("", " ", "\n") or plain[-1] == " " or " \n" in plain
+                if odd or not model.lines:  # a word keeps all its spaces but the last before it
+                    words = [x for w in PieceBpe.split(t) for x in (lines(w[1:]) if model.lines else [w[1:]])]
+                else:  # a line feed begins a word without a prefix
+                    words = plain.replace("\n", " \n").split(" ")
                 rows.append(words)
             if len(ids_of) > cache_words:
                 ids_of.clear()
