@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -53,6 +54,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._plumbline_path)
             with contextlib.suppress(Exception):  # a leftover only costs disk
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
+
+    def release(self) -> None:
+        """Let Spark notice plans that nothing holds any more: it then removes their shuffle files."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = scratch.write(low, "low")
         jump = low.select(F.col("node").alias("label"), F.col("label").alias("to"))
         new = scratch.write(low.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
-        scratch.drop(labels, low)
         changed = not new.where("old <> label").isEmpty()
         labels = new
         if not changed:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm._common import Scratch, map_text, pick, texts
 from plumbline.llm.graph import components
-from plumbline.llm.quality import WordHashes, windows
+from plumbline.llm.quality import windows, word_hashes
 
 #: Documents beyond which a token moves a class back in the order.
 FREQUENT = (8, 64, 512)
@@ -42,15 +42,25 @@ FANOUT = 8
 SEEN = 200_000
 
 
-def shingles(t: str, hashes: WordHashes, width: int) -> np.ndarray:
+def shingles(t: str, width: int) -> np.ndarray:
     """Sorted distinct hashes of runs of ``width`` words (A-Z in lower case); fewer words make one run."""
     words = t.encode("utf-8", "surrogatepass").lower().split()  # of ASCII, as bytes do
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    h = hashes(words)
+    h = word_hashes(words)
     if len(words) < width:
         return windows(h, len(words)) ^ np.uint64(len(words))
-    return np.unique(windows(h, width))
+    u = np.sort(windows(h, width))
+    first = np.ones(len(u), dtype=bool)
+    np.not_equal(u[1:], u[:-1], out=first[1:])
+    return u[first]
+
+
+def signature(u: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bitmap of the tokens, and how many tokens share a bit with another."""
+    bits = np.zeros(1 << SIGNATURE, dtype=np.uint8)
+    bits[(u >> np.uint64(64 - SIGNATURE)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64), len(u) - int(bits.sum())
 
 
 def class_of(u: np.ndarray) -> int:
@@ -82,16 +92,16 @@ def _marked(bitmap: np.ndarray, u: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, frequent: list[np.ndarray], once: bool) -> DataFrame:
-    """doc_id, cls, n and prefix of every document; ``once``: of each set once in a task."""
+    """doc_id, cls, n, prefix and signature of every document; ``once``: of each set once in a task."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
-        hashes, bitmaps, seen = WordHashes(), shared.value, set()
+        bitmaps, seen = shared.value, set()
 
         def work(part):
-            out = {"doc_id": [], "cls": [], "n": [], "prefix": []}
+            out = {"doc_id": [], "cls": [], "n": [], "prefix": [], "bits": [], "excess": []}
             for doc, t in zip(part.column(0).to_pylist(), texts(part), strict=True):
-                u = shingles(t, hashes, width)
+                u = shingles(t, width)
                 cls = class_of(u) if len(u) else None
                 if once:
                     if cls is None or cls in seen:
@@ -101,6 +111,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent: list[np.ndarr
                     seen.add(cls)
                 n = len(u)
                 p = prefix_length(n, percent) if n else 0
+                bits, excess = signature(u)
                 if bitmaps and n:
                     rank = sum(_marked(b, u).astype(np.int8) for b in bitmaps)
                     u = u[np.argsort(rank, kind="stable")[:p]]
@@ -108,41 +119,40 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent: list[np.ndarr
                 out["cls"].append(cls)
                 out["n"].append(n)
                 out["prefix"].append(u[:p].view(np.int64))
+                out["bits"].append(bits)
+                out["excess"].append(excess)
             return out
 
         return work
 
-    return map_text(docs, "text", "doc_id long, cls long, n long, prefix array<long>", make)
+    return map_text(docs, "text", "doc_id long, cls long, n long, prefix array<long>, bits array<long>, excess long", make)
 
 
 def _needed(docs: DataFrame, width: int, wanted: np.ndarray) -> DataFrame:
-    """cls, n, set and signature of documents whose doc_id is marked in ``wanted``."""
+    """cls, n and set of documents whose doc_id is marked in ``wanted``."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def make():
-        hashes, bitmap, seen = WordHashes(), shared.value, set()
+        bitmap, seen = shared.value, set()
 
         def work(part):
-            out = {"cls": [], "n": [], "tokens": [], "signature": []}
+            out = {"cls": [], "n": [], "tokens": []}
             near = _marked(bitmap, part.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
             for i in np.flatnonzero(near).tolist():
-                u = shingles(part.column(1)[i].as_py() or "", hashes, width)
+                u = shingles(part.column(1)[i].as_py() or "", width)
                 if not len(u) or (cls := class_of(u)) in seen:
                     continue
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(cls)
-                bits = np.zeros(1 << SIGNATURE, dtype=np.uint8)
-                bits[(u >> np.uint64(64 - SIGNATURE)).astype(np.int64)] = 1
                 out["cls"].append(cls)
                 out["n"].append(len(u))
                 out["tokens"].append(u.view(np.int64))
-                out["signature"].append(np.packbits(bits).tobytes())
             return out
 
         return work
 
-    return map_text(docs, "text", "cls long, n long, tokens array<long>, signature binary", make)
+    return map_text(docs, "text", "cls long, n long, tokens array<long>", make)
 
 
 class SignatureTree:
@@ -212,7 +222,7 @@ def _tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
         def tree(members):
             n = np.array([m["n"] for m in members], dtype=np.int64)
             label = np.array([m["label"] for m in members], dtype=np.int64)
-            bits = np.frombuffer(b"".join(m["signature"] for m in members), dtype=np.uint64).reshape(len(members), -1)
+            bits = np.array([m["bits"] for m in members], dtype=np.int64).view(np.uint64)
             return SignatureTree(n, label, bits)
 
         for batch in batches:
@@ -227,13 +237,30 @@ def _tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(run, "u long, v long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets link."""
+def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose signatures and sizes admit a link."""
+    left = marks.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("bits").alias("bu"), F.col("excess").alias("eu"))
+    right = marks.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("bits").alias("bv"), F.col("excess").alias("ev"))
+    common = F.aggregate(F.zip_with("bu", "bv", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda a, x: a + x)
+    sizes = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv"))
+    fits = (100 + percent) * (common + F.least("eu", "ev")) >= percent * (F.col("nu") + F.col("nv"))
+    return pairs.join(right, "v").join(left, "u").where(sizes).where(fits).select("u", "v")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (u, v) whose sets link; only texts of these pairs are read as sets."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct().join(classes, "cls").select("rep")
+    wanted = _mark(ids, "rep")
+    if wanted is None:
+        return pairs
+    sets = scratch.write(_needed(docs, width, wanted), "sets")
     left = sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
     right = sets.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
-    both = pairs.join(right, "v").join(left, "u")
     shared = F.size(F.array_intersect("tu", "tv")).cast("long")
-    return both.select("u", "v", "nu", "nv", shared.alias("o")).where(100 * F.col("o") >= percent * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v")
+    both = pairs.join(right, "v").join(left, "u").select("u", "v", "nu", "nv", shared.alias("o"))
+    links = scratch.write(both.where(100 * F.col("o") >= percent * (F.col("nu") + F.col("nv") - F.col("o"))).select("u", "v").distinct(), "links")
+    scratch.drop(sets)
+    return links
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -265,19 +292,19 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     tokens = first.where("cls is not null").select("cls", "n", F.explode("prefix").alias("h"))
     active = scratch.write(tokens.groupBy("h").agg(F.min("cls").alias("leader"), F.max("cls").alias("last")).where("leader <> last").select("h", "leader"), "active")
     bitmap = _mark(active, "h")
+    del counts, tokens
+    scratch.release()
     if bitmap is None:
         return slim.join(classes, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
     likely = _filtered(first.where("cls is not null").select("cls", "n", "prefix"), bitmap)
     postings = likely.select("cls", "n", F.explode("prefix").alias("h")).join(active, "h").groupBy("h", "cls").agg(F.first("n").alias("n"), F.first("leader").alias("leader"))
     postings = scratch.write(postings, "postings")
-    scratch.drop(first, counts, active)
-
-    members = postings.select("cls").distinct().join(classes, "cls").select("rep")
-    wanted = _mark(members, "rep")
-    sets = scratch.write(_needed(docs, width, wanted), "sets")
+    marks = first.select("cls", "n", "bits", "excess").join(postings.select("cls").distinct(), "cls").dropDuplicates(["cls"])
+    marks = scratch.write(marks, "signatures")
+    scratch.drop(first, active)
 
     star = postings.where("cls <> leader").select(F.col("leader").alias("u"), F.col("cls").alias("v")).distinct()
-    links = scratch.write(_verified(star, sets, percent).distinct(), "links")
+    links = _verified(scratch.write(_possible(star, marks, percent), "possible"), classes, docs, width, percent, scratch)
     labels = components(links, scratch)
 
     named = postings.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("h", "cls", "n", F.coalesce("label", "cls").alias("label"))
@@ -287,16 +314,15 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     mixed = mixed.groupBy("size", "x", "least", "most").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
     mixed = scratch.write(mixed, "mixed")
     if not mixed.isEmpty():
-        marks = sets.select("cls", "signature").dropDuplicates(["cls"])
-        inside = named.join(mixed, "h").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).join(marks, "cls")
-        member = F.struct("cls", "n", "label", "signature")
+        inside = named.join(mixed, "h").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).join(marks.select("cls", "bits"), "cls")
+        member = F.struct("cls", "n", "label", "bits")
         # A chunk goes to each pair of chunks that it is part of.
         dealt = inside.select("h", "chunk", member.alias("m"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
         dealt = dealt.select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") <= F.col("other"), F.col("m")).alias("l"), F.when(F.col("chunk") > F.col("other"), F.col("m")).alias("r"))
         blocks = dealt.groupBy("h", "i", "j").agg(F.collect_list("l").alias("left"), F.collect_list("r").alias("right")).where("size(left) > 0 and (i = j or size(right) > 0)")
         pairs = _tree_pairs(blocks.select("left", "right"), percent).distinct().join(star, ["u", "v"], "left_anti")
         pairs = scratch.write(pairs, "pairs")
-        links = links.unionByName(scratch.write(_verified(pairs, sets, percent), "links"))
+        links = links.unionByName(_verified(pairs, classes, docs, width, percent, scratch))
         labels = components(links, scratch)
 
     joined = labels.join(classes, labels.node == classes.cls)

@@ -73,14 +73,20 @@ class TrigramModel:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, most_languages: int = 64, chars: int = 4000) -> TrigramModel:
     """Fit on a bounded sample: ``per_language`` labelled rows (in the order of a hash of text)
     of the ``most_languages`` commonest languages, ``chars`` characters of each."""
-    rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")).where("t is not null and l is not null and l <> ''")
-    counted = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(most_languages).collect()
-    languages = sorted(r[0] for r in counted)
-    sample = []
-    for x in languages:
-        own = rows.where(F.col("l") == x).select(F.xxhash64("t").alias("h"), F.substring("t", 1, chars).alias("t"))
-        sample += [(r[0], x) for r in own.orderBy("h", "t").limit(per_language).select("t").collect()]
-    return TrigramModel(languages, sample)
+    rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")).where("t is not null and l is not null and l <> ''").withColumn("h", F.xxhash64("t"))
+    scratch = Scratch(labelled.sparkSession)
+    hashes = scratch.write(rows.groupBy("l", "h").count(), "hashes")
+    counted = hashes.groupBy("l").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
+    # The least hashes of each language, then the texts behind them: no task sends texts that lose.
+    chosen = {r[0]: [x[0] for x in hashes.where(F.col("l") == r[0]).orderBy("h").limit(per_language).select("h").collect()] for r in counted}
+    if not chosen:
+        return TrigramModel([], [])
+    low = F.lit(False)
+    for x, h in chosen.items():
+        low = low | ((F.col("l") == x) & (F.col("h") <= h[-1]))
+    sample = rows.where(low).groupBy("l", "h").agg(F.min(F.substring("t", 1, chars)).alias("t")).collect()
+    scratch.drop(hashes)
+    return TrigramModel(sorted(chosen), sorted((r["t"], r["l"]) for r in sample))
 
 
 def identify(

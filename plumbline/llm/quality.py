@@ -49,30 +49,25 @@ GRID = {
 }
 
 
-class WordHashes:
-    """64-bit hashes of words (bytes), kept between batches up to a number of words."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), dtype="<u8")
 
-    def __init__(self, limit: int = 300_000):
-        self.cache: dict[bytes, bytes] = {}
-        self.limit = limit
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        missing = set(words).difference(self.cache)
-        if missing:
-            if len(self.cache) + len(missing) > self.limit:
-                self.cache.clear()
-                missing = set(words)
-            self.cache.update((w, xxhash.xxh3_64_digest(w)) for w in missing)
-        return np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype="<u8")
+#: Odd multipliers, one for each place of a window.
+_PLACES = [(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) for i in range(1, 65)]
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` words; len(h) >= width."""
-    out = np.zeros(len(h) - width + 1, dtype=np.uint64)
-    for i in range(width):  # an odd multiplier for each place, mixed between places
-        out ^= h[i : len(h) - width + 1 + i]
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+    """A 64-bit hash of each run of ``width`` words; len(h) >= width, width at most 64."""
+    n = len(h) - width + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for i in range(width):
+        part = h[i : i + n] ^ (h[i : i + n] >> np.uint64(32))
+        out += part * np.uint64(_PLACES[i])
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
     return out
 
 
@@ -95,7 +90,7 @@ def repeated_words(h: np.ndarray, width: int = 5) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def measure(t: str, hashes: WordHashes) -> tuple[int, ...]:
+def measure(t: str) -> tuple[int, ...]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_bang, n_echo.
 
     n_echo counts words equal to the word before them.
@@ -109,7 +104,7 @@ def measure(t: str, hashes: WordHashes) -> tuple[int, ...]:
         len(t) - sum(map(t.count, _SPACES)),
         sum(map(t.count, SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeated_words(hashes(words)) if len(words) > 5 else 0,
+        repeated_words(word_hashes(words)) if len(words) > 5 else 0,
         len(lines),
         upper,
         t.count("!"),
@@ -121,10 +116,8 @@ def text_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text", str
     """Base counts of every whole text (null: none), with the row's stratum (null: '')."""
 
     def make():
-        hashes = WordHashes()
-
         def work(part):
-            rows = [measure(t, hashes) for t in texts(part)]
+            rows = [measure(t) for t in texts(part)]
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bang", "n_echo")
             return {"doc_id": part.column(0), "stratum": part.column(2)} | {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
