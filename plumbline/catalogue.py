@@ -1,6 +1,8 @@
-"""The queries over the standard tables, each with its SQL twin where SQL can express it."""
+"""All queries over the standard tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import checks, graphs, matching, relational, sequences
+from plumbline.plans._registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "checks", "graphs", "matching", "relational", "sequences"]
