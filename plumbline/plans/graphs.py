@@ -58,11 +58,11 @@ def first_claim_dedupe(t):
 
 @query("""WITH RECURSIVE n AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 1 THEN s_suppkey END AS v FROM supplier), e AS (SELECT id AS a, id + 1 AS b FROM n WHERE id + 1 IN (SELECT id FROM n)),
   r(id, v, dist) AS (SELECT id, v, 0 FROM n WHERE v IS NOT NULL UNION ALL SELECT x.id, r.v, dist + 1 FROM r JOIN n x ON abs(x.id - r.id) = 1 WHERE x.v IS NULL AND dist < 12),
-  f AS (SELECT id, min(dist) AS d FROM r GROUP BY 1), g AS (SELECT r.id, min(r.v) AS lo, max(r.v) AS hi FROM r JOIN f ON r.id = f.id AND r.dist = f.d GROUP BY 1) SELECT n.id AS s_suppkey, CASE WHEN lo = hi THEN lo END AS v FROM n LEFT JOIN g USING (id)""")
+  f AS (SELECT id, min(dist) AS d FROM r GROUP BY 1), g AS (SELECT r.id, min(r.v) AS lo, max(r.v) AS hi FROM r JOIN f ON r.id = f.id AND r.dist = f.d GROUP BY 1) SELECT n.id AS s_suppkey, coalesce(CASE WHEN lo = hi THEN lo END, -1) AS v FROM n LEFT JOIN g USING (id)""")
 def fixpoint_inherit(t):
     s = t("supplier").selectExpr("s_suppkey", "case when s_suppkey % 10 = 1 then s_suppkey end v")
     edges = s.select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") + 1).alias("b")).join(s.select(F.col("s_suppkey").alias("b")), "b").select("a", "b")
-    return graph.inherit_unique(s, "s_suppkey", "v", edges)
+    return graph.inherit_unique(s, "s_suppkey", "v", edges).select("s_suppkey", F.coalesce("v", F.lit(-1)).alias("v"))
 
 
 _NATIONS = "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND b.n_nationkey > a.n_nationkey"

@@ -12,10 +12,10 @@ from plumbline.plans.matching import _OPEN, _open
 _BY_USER = W.partitionBy("user_id").orderBy("ts", "event_id")
 
 
-@query("""SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap_us FROM events""")
+@query("""SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), -1) AS gap_us FROM events""")
 def lag_delta(t):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return t("events").select("event_id", (us - F.lag(us).over(_BY_USER)).alias("gap_us"))
+    return t("events").select("event_id", F.coalesce(us - F.lag(us).over(_BY_USER), F.lit(-1)).alias("gap_us"))
 
 
 @query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new, event_id FROM events),
