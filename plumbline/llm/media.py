@@ -24,11 +24,15 @@ from plumbline.llm.jaccard_join import BITMAP, _mark, _marked
 
 SCALES = (1.0, 0.7, 0.5)
 CORNERS = 16  # strongest corners of an image, over all scales
-BANDS = 16
+BANDS = 6
 RADIUS = BANDS - 1  # bits in which matching descriptors differ at most
 REACH = 10  # pixels of a patch around its corner
 _PATTERN = np.clip(np.random.RandomState(7).normal(0, REACH / 2.5, (256, 2, 2)), -REACH, REACH)
 _DISC = np.array([(x, y) for x in range(-8, 9) for y in range(-8, 9) if x * x + y * y <= 64])
+#: Each bit's weight in its band; bands differ by a bit in length at most.
+_BAND_OF = np.zeros((256, BANDS), dtype=np.int64)
+for _k, _part in enumerate(np.array_split(np.arange(256), BANDS)):
+    _BAND_OF[_part, _k] = 1 << np.arange(len(_part))
 _PNM = re.compile(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -50,7 +54,7 @@ def encode_pgm(img: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (img.shape[1], img.shape[0]) + np.clip(np.rint(img), 0, 255).astype(np.uint8).tobytes()
 
 
-def picture_of(vector: list[float] | None, side: int = 8, cell: int = 8) -> bytes | None:
+def picture_of(vector: list[float] | None, side: int = 8, cell: int = 4) -> bytes | None:
     """A square grey picture of a vector, for tables without images: one cell a number, smoothed."""
     v = np.array([0.0 if x is None else x for x in vector or []], dtype=np.float64)[: side * side]
     if not len(v):
@@ -118,10 +122,7 @@ def describe(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def band_keys(bits: np.ndarray) -> np.ndarray:
     """A key for each descriptor and band: the band's number and its bits."""
-    words = np.ascontiguousarray(bits).reshape(len(bits), BANDS, -1)
-    value = np.zeros(words.shape[:2], dtype=np.int64)
-    for k in range(words.shape[2]):
-        value = value << 8 | words[:, :, k]
+    value = np.unpackbits(bits, axis=1).astype(np.int64) @ _BAND_OF
     return (value * 0x9E3779B1 + np.arange(BANDS) * 0x632BE5AB) & ((1 << 62) - 1)
 
 
