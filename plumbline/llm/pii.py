@@ -74,7 +74,7 @@ def _valid(kind: str, x: Column) -> Column:
 def _base(kind: str) -> Column:
     """Valid matches of a kind; those that fail are dropped, without another try."""
     i = KINDS.index(kind)
-    return F.transform(F.filter(kind, lambda x: _valid(kind, x)), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), F.lit(kind).alias("kind"), x["e"].alias("e")))
+    return F.transform(F.filter(kind, lambda x: _valid(kind, x)), lambda x: F.struct(x["s"].alias("s"), F.lit(i).alias("i"), F.lit(kind).alias("kind"), x["e"].alias("e"), F.xxhash64(x["hit"]).alias("v")))
 
 
 def _count(kind: str) -> Column:
@@ -144,7 +144,7 @@ def _spans(df: DataFrame, doc_id: str, text: str, rounds: int = 3, min_seeds: in
     inside = F.exists("base", lambda b: (b["s"] < F.col("x.s")) & (b["e"] > F.col("x.s")))
     words = F.filter(F.split(F.lower("x.gap"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
     seen = docs.select("doc_id", "key", "base", F.explode("tokens").alias("x"))
-    seen = seen.select("doc_id", "key", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.xxhash64(F.lower("x.hit")).alias("token"), _digits(F.col("x.hit")).alias("d"), (F.size(seed) > 0).alias("seed"), inside.alias("inside"), F.slice(F.reverse(words), 1, 2).alias("left"))
+    seen = seen.select("doc_id", "key", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.coalesce(F.get(seed, F.lit(0))["v"], F.xxhash64(F.lower("x.hit"))).alias("token"), _digits(F.col("x.hit")).alias("d"), (F.size(seed) > 0).alias("seed"), inside.alias("inside"), F.slice(F.reverse(words), 1, 2).alias("left"))
     seen = seen.where(~F.col("inside") & (F.size("left") == 2) & (F.col("seed") | (F.length("d") >= min_digits)))
     seen = scratch.write(seen.select("doc_id", "key", "s", "e", "token", "seed", F.array_join("left", " ").alias("pattern")), "tokens")
     edges = seen.groupBy("pattern", "token").agg(F.max("seed").alias("seed"))
@@ -159,8 +159,8 @@ def _spans(df: DataFrame, doc_id: str, text: str, rounds: int = 3, min_seeds: in
         scores = edges.join(patterns, "pattern").groupBy("token").agg(F.greatest(F.max(F.col("seed").cast("double")), F.max("belief")).alias("score"))
     believed = patterns.where(F.col("belief") >= min_score).select("pattern")
     found = seen.where(~F.col("seed")).join(believed, "pattern").groupBy(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key"))
-    found = found.agg(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("i"), F.lit("id").alias("kind"), "e")).alias("more"))
+    found = found.agg(F.collect_set(F.struct("s", F.lit(len(KINDS)).alias("i"), F.lit("id").alias("kind"), "e", F.lit(0).cast("long").alias("v"))).alias("more"))
 
     out = docs.join(found, docs.doc_id.eqNullSafe(found.found_id) & (docs.key == found.found_key), "left")
-    more = F.coalesce("more", F.array().cast("array<struct<s:int,i:int,kind:string,e:int>>"))
+    more = F.coalesce("more", F.array().cast("array<struct<s:int,i:int,kind:string,e:int,v:bigint>>"))
     return out.select("doc_id", "key", "base", F.concat("base", more).alias("all"))
