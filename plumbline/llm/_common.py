@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import gc
 import tempfile
 import uuid
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a Python worker unpacks at once.
 SLICE_CHARS = 2_000_000
+#: Rows of an Arrow batch while a table is written.
+BATCH_ROWS = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_root(application: str) -> str:
+    """A temporary folder of one application on one machine."""
+    return "file://" + tempfile.mkdtemp(prefix="plumbline-")
+
+
 class Scratch:
     """Tables written under ``spark.checkpoint.dir`` to cut lineage.
 
@@ -33,16 +42,22 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-            spark.conf.set("spark.checkpoint.dir", root)
+            root = _own_root(spark.sparkContext.applicationId)
         self.root = f"{root}/plumbline-{uuid.uuid4().hex}"
         self.n = 0
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` once and return a reader of what was written."""
+    def write(self, df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
+        """Write ``df`` once and return a reader of what was written; Python gets ``rows`` at a time."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        # Batches of few rows: long texts and sets cross to Python in little memory at a time.
+        size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(size)
+        self.spark.conf.set(size, str(min(rows, int(before)) if int(before) > 0 else rows))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(size, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._plumbline_path = path
         return out
@@ -89,6 +104,7 @@ def map_text(df: DataFrame, text: str, schema: str, make: Callable[[], Callable[
             for part in slices(batch, text):
                 got = work(part)
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
