@@ -9,19 +9,21 @@ from plumbline.operators import sequences
 from plumbline.plans._registry import query
 from plumbline.plans.matching import _OPEN, _open
 
-_BY_USER = W.partitionBy("user_id").orderBy("ts", "event_id")
+
+def _by_user():
+    return W.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("""SELECT event_id, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)), -1) AS gap_us FROM events""")
 def lag_delta(t):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return t("events").select("event_id", F.coalesce(us - F.lag(us).over(_BY_USER), F.lit(-1)).alias("gap_us"))
+    return t("events").select("event_id", F.coalesce(us - F.lag(us).over(_by_user()), F.lit(-1)).alias("gap_us"))
 
 
 @query("""WITH x AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new, event_id FROM events),
   y AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM x) SELECT user_id, s::BIGINT AS session, count(*) AS n FROM y GROUP BY 1, 2""")
 def islands_session(t):
-    new = F.col("ts") > F.lag("ts").over(_BY_USER) + F.expr("interval 30 minutes")
+    new = F.col("ts") > F.lag("ts").over(_by_user()) + F.expr("interval 30 minutes")
     return sequences.islands(t("events"), ["user_id"], ["ts", "event_id"], new, "session").groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
