@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ BITMAP = 25
 SIGNATURE = 11
 #: Members of a block that one task compares with those of another chunk.
 CHUNK = 512
-FANOUT = 8
+FANOUT = 16
 #: Distinct sets whose copies a task recognises at once.
 SEEN = 200_000
 
@@ -170,11 +171,16 @@ class SignatureTree:
             self.levels.append((np.bitwise_or.reduceat(b, at, axis=0), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(e, at), np.minimum.reduceat(lab, at), one))
 
 
-def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Member pairs of two trees (or of one with itself) that may link and have different labels."""
+def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Member pairs of two trees (or of one with itself) that may link and have different labels, and their largest possible overlap."""
+    top = np.zeros(0, dtype=np.int64)
     same = a is b
     i, j = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-    for level in range(max(len(a.levels), len(b.levels)) - 1, -1, -1):
+    start = max(len(a.levels), len(b.levels)) - 1
+    if start == 1:  # roots over leaves only: the leaves are as cheap
+        i, j = np.divmod(np.arange(len(a.order) * len(b.order)), len(b.order))
+        start = 0
+    for level in range(start, -1, -1):
         la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
         ab, alo, ahi, ae, al, ao = a.levels[la]
         bb, blo, bhi, be, bl, bo = b.levels[lb]
@@ -182,59 +188,87 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int) -> tuple[np
         if same and level == 0:
             stay &= i < j
         i, j = i[stay], j[stay]
-        keep = []
+        keep, bound = [], []
         for s in range(0, len(i), 1 << 14):
             x, y = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
             most = np.bitwise_count(ab[x] & bb[y]).sum(axis=1).astype(np.int64) + np.minimum(ae[x], be[y])
             # similarity >= t needs an overlap of t / (1 + t) of both sizes
             keep.append((100 + percent) * most >= percent * (alo[x] + blo[y]))
+            bound.append(most)
         if keep:
             k = np.concatenate(keep)
-            i, j = i[k], j[k]
+            i, j, top = i[k], j[k], np.concatenate(bound)[k]
         if level:
-            i, j = _children(a, i, level), _children(b, j, level)
-            i, j = _cross(i, j)
+            i, j = _expand(a, i, b, j, level)
             if same:
                 up = i <= j
                 i, j = i[up], j[up]
-    return a.order[i], b.order[j]
+    return a.order[i], b.order[j], top[: len(i)]
 
 
-def _children(t: SignatureTree, i: np.ndarray, level: int) -> list[np.ndarray]:
-    """For each node, its children one level down (itself if its tree is lower)."""
+def _children(t: SignatureTree, i: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First child and number of children of each node (itself, if its tree is lower)."""
     if level > len(t.levels) - 1:
-        return [np.array([x]) for x in i]
-    m = len(t.levels[level - 1][1])
-    return [np.arange(x * FANOUT, min(m, (x + 1) * FANOUT)) for x in i.tolist()]
+        return i, np.ones(len(i), dtype=np.int64)
+    first = i * FANOUT
+    return first, np.minimum(len(t.levels[level - 1][1]), first + FANOUT) - first
 
 
-def _cross(i: list[np.ndarray], j: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not i:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate([np.repeat(x, len(y)) for x, y in zip(i, j, strict=True)]), np.concatenate([np.tile(y, len(x)) for x, y in zip(i, j, strict=True)])
+def _expand(a: SignatureTree, i: np.ndarray, b: SignatureTree, j: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children of node pairs."""
+    (fa, na), (fb, nb) = _children(a, i, level), _children(b, j, level)
+    n = na * nb
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = np.repeat(nb, n)
+    return np.repeat(fa, n) + k // wide, np.repeat(fb, n) + k % wide
 
 
-def _tree_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """u, v: pairs that may link, from rows (left: members, right: members or null)."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def _best(i: np.ndarray, j: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Of each member the pair of the largest bound: linear in the members."""
+    order = np.argsort(-top, kind="stable")
+    return np.unique(np.r_[order[np.unique(i[order], return_index=True)[1]], order[np.unique(j[order], return_index=True)[1]]])
 
-    def run(batches):
-        def tree(members):
-            n = np.array([m["n"] for m in members], dtype=np.int64)
-            label = np.array([m["label"] for m in members], dtype=np.int64)
-            bits = np.array([m["bits"] for m in members], dtype=np.int64).view(np.uint64)
-            return SignatureTree(n, label, bits)
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                left, right = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                a = tree(left)
-                i, j = dual_traversal(a, tree(right) if right else a, percent)
-                ids = np.array([m["cls"] for m in left], dtype=np.int64)
-                others = np.array([m["cls"] for m in right], dtype=np.int64) if right else ids
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], others[j])), pa.array(np.maximum(ids[i], others[j]))], schema=schema)
+def _tree_pairs(blocks: DataFrame, percent: int, full: bool) -> DataFrame:
+    """h, u, v: pairs that may link, from rows (h, left: members, right: members or none).
 
-    return blocks.mapInArrow(run, "u long, v long")
+    Unless ``full``, a block with many more pairs than members gives the best
+    pair of each member only, and a row (h, null, null) that says so.
+    """
+    schema = pa.schema([("h", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            sides = []
+            for column in batch.columns[1:]:
+                members = column.flatten()
+                n, label, cls = (members.field(k).to_numpy(zero_copy_only=False) for k in ("n", "label", "cls"))
+                bits = members.field("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), -1) if len(n) else np.zeros((0, 1), dtype=np.uint64)
+                sides.append((np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))], n, label, cls, bits))
+            (at, n, label, cls, bits), (at2, n2, label2, cls2, bits2) = sides
+            hs, us, vs = [], [], []
+            for k, h in enumerate(batch.column(0).to_pylist()):
+                x, y = slice(at[k], at[k + 1]), slice(at2[k], at2[k + 1])
+                a = SignatureTree(n[x], label[x], bits[x])
+                b, other = (SignatureTree(n2[y], label2[y], bits2[y]), cls2[y]) if y.stop > y.start else (a, cls[x])
+                i, j, top = dual_traversal(a, b, percent)
+                if not full and len(i) > 4 * (len(n[x]) + len(other)):
+                    best = _best(i, j, top)
+                    i, j = i[best], j[best]
+                    us.append(np.array([None]))
+                    vs.append(np.array([None]))
+                    hs.append([h])
+                if len(i):
+                    u, v = cls[x][i], other[j]
+                    us.append(np.minimum(u, v))
+                    vs.append(np.maximum(u, v))
+                    hs.append(np.full(len(i), h, dtype=np.int64))
+            if hs:
+                columns = [[z for part in parts for z in (part.tolist() if isinstance(part, np.ndarray) else part)] for parts in (hs, us, vs)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], schema=schema)
+            pa.default_memory_pool().release_unused()
+
+    return blocks.mapInArrow(run, "h long, u long, v long")
 
 
 def _possible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
@@ -307,23 +341,27 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     links = _verified(scratch.write(_possible(star, marks, percent), "possible"), classes, docs, width, percent, scratch)
     labels = components(links, scratch)
 
-    named = postings.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("h", "cls", "n", F.coalesce("label", "cls").alias("label"))
-    named = scratch.write(named, "named")
-    mixed = named.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.min("cls").alias("least"), F.max("cls").alias("most")).where("a <> b")
-    # Blocks of the same members are one.
-    mixed = mixed.groupBy("size", "x", "least", "most").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    mixed = scratch.write(mixed, "mixed")
-    if not mixed.isEmpty():
-        inside = named.join(mixed, "h").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).join(marks.select("cls", "bits"), "cls")
-        member = F.struct("cls", "n", "label", "bits")
-        # A chunk goes to each pair of chunks that it is part of.
-        dealt = inside.select("h", "chunk", member.alias("m"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
-        dealt = dealt.select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") <= F.col("other"), F.col("m")).alias("l"), F.when(F.col("chunk") > F.col("other"), F.col("m")).alias("r"))
-        blocks = dealt.groupBy("h", "i", "j").agg(F.collect_list("l").alias("left"), F.collect_list("r").alias("right")).where("size(left) > 0 and (i = j or size(right) > 0)")
-        pairs = _tree_pairs(blocks.select("left", "right"), percent).distinct().join(star, ["u", "v"], "left_anti")
-        pairs = scratch.write(pairs, "pairs")
-        links = links.unionByName(_verified(pairs, classes, docs, width, percent, scratch))
-        labels = components(links, scratch)
+    # A block whose pairs are all compared is done. One with very many gives the best pair of each
+    # member first; when these merge no more labels, all pairs that still cross labels follow.
+    known, rest, full = star, postings, False
+    while True:
+        named = rest.join(labels.select(F.col("node").alias("cls"), "label"), "cls", "left").select("h", "cls", "n", F.coalesce("label", "cls").alias("label"))
+        blocks = _mixed_blocks(scratch.write(named, "named"), marks, scratch)
+        if blocks is None:
+            break
+        found = scratch.write(_tree_pairs(blocks, percent, full), "found", rows=8)  # a block may hold two chunks of signatures
+        pairs = scratch.write(found.where("u is not null").select("u", "v").distinct().join(known, ["u", "v"], "left_anti"), "pairs")
+        new = _verified(pairs, classes, docs, width, percent, scratch)
+        merged = not new.isEmpty()
+        if merged:
+            links = links.unionByName(new)
+            labels = components(links, scratch)
+        cut = found.where("u is null").select("h").distinct()
+        if cut.isEmpty():
+            break
+        rest = scratch.write(rest.join(cut, "h", "left_semi"), "rest")
+        full = not merged
+        known = known.unionByName(pairs)
 
     joined = labels.join(classes, labels.node == classes.cls)
     named = joined.groupBy("label").agg(F.min("rep").alias("component")).join(joined, "label").select("cls", "component")
@@ -331,10 +369,25 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return slim.join(roots, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _mixed_blocks(named: DataFrame, marks: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Rows (h, left, right) of members of blocks with several labels, in chunks or pairs of chunks; None if there is none."""
+    mixed = named.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.min("cls").alias("least"), F.max("cls").alias("most")).where("a <> b")
+    # Blocks of the same members are one.
+    mixed = mixed.groupBy("size", "x", "least", "most").agg(F.min("h").alias("h")).select("h", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    mixed = scratch.write(mixed, "mixed")
+    if mixed.isEmpty():
+        return None
+    inside = named.join(mixed, "h").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int")).join(marks.select("cls", "bits"), "cls")
+    member = F.struct("cls", "n", "label", "bits")
+    # A chunk goes to each pair of chunks that it is part of.
+    dealt = inside.select("h", "chunk", member.alias("m"), F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
+    dealt = dealt.select("h", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), F.when(F.col("chunk") <= F.col("other"), F.col("m")).alias("l"), F.when(F.col("chunk") > F.col("other"), F.col("m")).alias("r"))
+    blocks = dealt.groupBy("h", "i", "j").agg(F.collect_list("l").alias("left"), F.collect_list("r").alias("right"))
+    return blocks.where("size(left) > 0 and (i = j or size(right) > 0)").select("h", "left", "right")
+
+
 def _filtered(df: DataFrame, bitmap: np.ndarray) -> DataFrame:
     """Prefix tokens that are marked; rows without one go."""
-    import pyarrow.compute as pc
-
     shared = df.sparkSession.sparkContext.broadcast(bitmap)
     schema = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
