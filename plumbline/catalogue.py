@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import checks, graphs, matching, relational, sequences
+from plumbline.plans import checks, decisions, graphs, matching, relational, sequences
 from plumbline.plans._registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "checks", "graphs", "matching", "relational", "sequences"]
+__all__ = ["ORACLES", "QUERIES", "checks", "decisions", "graphs", "matching", "relational", "sequences"]

@@ -92,3 +92,30 @@ def wrong_match(kind: Column, off: Column, printed: Column, line: float = 0.5, a
 def gps_seconds(v: Column) -> Column:
     """Adjusted standard GPS time (offset by 10**9) as a timestamp."""
     return F.timestamp_seconds(v + F.lit(1_000_000_000 + 315_964_800))
+
+
+def in_any_box(px: Column, py: Column, boxes: list[tuple[float, float, float, float]], pad: float = 0.0) -> Column:
+    """Whether a point lies in a box (x0, y0, x1, y1) grown by ``pad``, its border included; unknown stays unknown."""
+    inside = F.lit(False)
+    for x0, y0, x1, y1 in boxes:
+        inside = inside | (px.between(x0 - pad, x1 + pad) & py.between(y0 - pad, y1 + pad))
+    return F.when(px.isNotNull() & py.isNotNull(), inside)
+
+
+def nearest_station(px: Column, py: Column, axis: list[tuple[float, float]]) -> Column:
+    """struct<distance, station> of a point's nearest place on a fixed polyline; the smaller station on ties."""
+    found, at = [], 0.0
+    for (ax, ay), (bx, by) in zip(axis, axis[1:], strict=False):
+        a, b, c, d = map(F.lit, (ax, ay, bx, by))
+        length = ((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(along(px, py, a, b, c, d), F.lit(0.0))))
+        found.append(F.struct(point_segment_distance(px, py, a, b, c, d).alias("distance"), (F.lit(at) + t * length).alias("station")))
+        at += length
+    return F.when(px.isNotNull() & py.isNotNull(), F.array_min(F.array(*found)))
+
+
+def curve_verdict(radius: Column, delta: Column, length: Column, flat: float = 0.5) -> Column:
+    """Whether L = R * delta holds: 'pass', 'fail', 'unproven' for an arc too flat to judge, 'queued' if a value is missing."""
+    off = F.abs(length - arc_length(radius, delta))
+    sagitta = radius * (1 - F.cos(F.radians(delta) / 2))
+    return F.when(off.isNull(), "queued").when(off <= 0.02 + 0.0005 * length, "pass").when(sagitta < flat, "unproven").otherwise("fail")

@@ -92,3 +92,26 @@ def densify(df: DataFrame, length: str, step: float) -> DataFrame:
     """Equal elements of at most ``step``: columns s0, s1 along each row's length."""
     n = F.greatest(F.lit(1), F.ceil(F.col(length) / step)).cast("int")
     return df.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumns({"s0": F.col(length) * F.col("_i") / F.col("_n"), "s1": F.col(length) * (F.col("_i") + 1) / F.col("_n")}).drop("_n", "_i")
+
+
+def drop_wide_runs(df: DataFrame, by: list[str], order: list[str], breaks: Column, value: str, widest: float) -> DataFrame:
+    """Runs whose values range over less than ``widest``: by, island and n; a wider run is a reversal or noise."""
+    runs = islands(df, by, order, breaks).groupBy(*by, "island").agg(F.count("*").alias("n"), (F.max(value) - F.min(value)).alias("_range"))
+    return runs.where(F.col("_range") < widest).drop("_range")
+
+
+def point_at_fraction(df: DataFrame, by: list[str], order: list[str], x: str, y: str, fraction: float) -> DataFrame:
+    """The point of each polyline at a fraction of its length, with the length; none for one without length."""
+    w = W.partitionBy(*by).orderBy(*order)
+    s = df.withColumns({"_x": F.lead(x).over(w), "_y": F.lead(y).over(w)})
+    s = s.withColumn("_len", F.sqrt((F.col("_x") - F.col(x)) ** 2 + (F.col("_y") - F.col(y)) ** 2)).where("_len > 0")
+    s = s.withColumns({"_at": F.coalesce(F.sum("_len").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)), "length": F.sum("_len").over(W.partitionBy(*by))})
+    t = (F.col("length") * fraction - F.col("_at")) / F.col("_len")
+    here = F.struct(*order, "length", (F.col(x) + t * (F.col("_x") - F.col(x))).alias("px"), (F.col(y) + t * (F.col("_y") - F.col(y))).alias("py"))
+    return s.where(F.col("_at") <= F.col("length") * fraction).groupBy(*by).agg(F.max(here).alias("p")).select(*by, "p.length", "p.px", "p.py")
+
+
+def adaptive_reach(df: DataFrame, by: list[str], order: list[str], value: Column, factor: float, floor: float) -> DataFrame:
+    """A reach for each group: ``factor`` times its median step to the next row, not below ``floor``."""
+    step = df.withColumn("_step", F.lead(value).over(W.partitionBy(*by).orderBy(*order)) - value)
+    return step.groupBy(*by).agg(F.coalesce(F.greatest(F.lit(floor), factor * F.percentile("_step", F.lit(0.5))), F.lit(floor)).alias("reach"))

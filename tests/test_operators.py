@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry, parsing
-from plumbline.operators import aggregates, fits, graph, joins, sequences
+from plumbline.operators import aggregates, cascades, fits, graph, joins, sequences
 
 
 def one(spark, column):
@@ -111,3 +111,65 @@ def test_stream_sessions(spark, tmp_path):
     q = events.tumbling(events.read_events(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("tumbling").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert spark.sql("select sum(n) from tumbling").first()[0] == 1000
+
+
+def test_removal_keeps_what_is_protected(spark):
+    df = spark.createDataFrame([(1, 1.0, True), (2, 1.0, False), (3, 9.0, None), (4, None, False)], "k int, v double, safe boolean")
+    out = cascades.removal_cascade(df, [("small", F.col("v") < 2), ("large", F.col("v") > 5)], F.col("safe"))
+    assert {r.k: r.removed_by for r in out.collect()} == {1: None, 2: "small", 3: "large", 4: None}
+
+
+@pytest.mark.parametrize(("classes", "want"), [({2.28: (1, 118), 1.68: (8, 12253)}, [1.68]), ({2.0: (3, 800), 1.5: (10, 5000)}, [1.5]), ({2.0: (1, 9000)}, [])])
+def test_heaviest_class(spark, classes, want):
+    rows = [("s", w, total / n) for w, (n, total) in classes.items() for _ in range(n)]
+    out = cascades.heaviest_class(spark.createDataFrame(rows, "sheet string, w double, ft double"), ["sheet"], "w", "ft", 2, 1000.0)
+    assert [r.w for r in out.collect()] == want
+
+
+def test_attach_unique_never_overwrites(spark):
+    rows = [(1, "a", None), (2, "a", 5.0), (3, "b", 1.0), (4, "b", 2.0), (5, "b", None), (6, "c", None), (7, None, None)]
+    out = cascades.attach_unique(spark.createDataFrame(rows, "k int, region string, r double"), ["region"], "r")
+    assert {r.k: r.r for r in out.collect()} == {1: 5.0, 2: 5.0, 3: 1.0, 4: 2.0, 5: None, 6: None, 7: None}
+
+
+def test_cascade_prefers_proof_and_refuses_ties(spark):
+    rows = [(1, 10, 1.0), (1, 11, 0.1), (2, 20, 1.0), (2, 21, 1.0), (3, 30, 9.0), (4, 40, None)]
+    out = cascades.cascade_match(spark.createDataFrame(rows, "l int, r int, d double"), "l", "r", [F.col("d") < 0.5, F.col("d") < 5])
+    assert sorted(tuple(x) for x in out.collect()) == [(1, 1, 1, 11), (2, 2, 2, None)]
+
+
+def test_claims_equal_the_sequential_loop(spark):
+    rng = random.Random(7)
+    rows = sorted({(rng.randrange(40), rng.randrange(30)): rng.randrange(6) for _ in range(300)}.items())
+    out = cascades.claim_in_order(spark.createDataFrame([(a, b, d) for (a, b), d in rows], "l int, r int, d int"), "l", "r", "d")
+    free, want = set(range(30)), {}
+    for left in range(40):
+        near = [(d, b) for (a, b), d in rows if a == left and b in free]
+        if near:
+            want[left] = min(near)[1]
+            free.discard(want[left])
+    assert {x.l: x.r for x in out.collect()} == want
+    none = cascades.claim_in_order(spark.createDataFrame([], "l int, r int, d int"), "l", "r", "d")
+    assert none.count() == 0
+
+
+def test_paths_end_at_branches(spark):
+    # 1-2-3 is a chain to the branch at node 4, where 4 and 5 begin; 6 and 7 are a ring.
+    edges = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (3, 3, 4), (4, 4, 5), (5, 4, 6), (6, 8, 9), (7, 9, 8)], "k int, u int, v int")
+    out = {r.k: r.path for r in cascades.unbranched_paths(edges, "k", "u", "v").collect()}
+    assert out == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 6}
+
+
+def test_point_at_fraction(spark):
+    rows = [("a", 1, 0.0, 0.0), ("a", 2, 3.0, 0.0), ("a", 3, 3.0, 1.0), ("b", 1, 5.0, 5.0), ("c", 1, 2.0, 2.0), ("c", 2, 2.0, 2.0)]
+    out = sequences.point_at_fraction(spark.createDataFrame(rows, "k string, o int, x double, y double"), ["k"], ["o"], "x", "y", 0.5)
+    assert [tuple(r) for r in out.collect()] == [("a", 4.0, 2.0, 0.0)]
+
+
+def test_stations_and_boxes(spark):
+    near = geometry.nearest_station(F.lit(12.0), F.lit(4.0), [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0)])
+    assert tuple(one(spark, near)) == (2.0, 14.0)
+    assert one(spark, geometry.in_any_box(F.lit(1.0), F.lit(2.4), [(0, 0, 2, 2)], 0.5))
+    assert one(spark, geometry.in_any_box(F.lit(None).cast("double"), F.lit(1.0), [(0, 0, 2, 2)])) is None
+    verdict = lambda r, d, length: one(spark, geometry.curve_verdict(F.lit(r), F.lit(d), F.lit(length)))
+    assert verdict(100.0, 90.0, 157.08) == "pass" and verdict(100.0, 90.0, 150.0) == "fail" and verdict(100.0, 5.0, 9.0) == "unproven"
