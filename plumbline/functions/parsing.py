@@ -95,3 +95,41 @@ def wildcard_match(pattern: Column, candidate: Column) -> Column:
     """A tag in which '?' stands for one character, or for none."""
     body = F.regexp_replace(F.regexp_replace(pattern, r"([\\.\[\]{}()*+^$|-])", r"\\$1"), r"\?", ".?")
     return F.expr("true") & F.regexp(candidate, F.concat(F.lit("^"), body, F.lit("$")))
+
+
+def repaired_coordinate(text: Column) -> Column:
+    """A lettered coordinate without spaces, in upper case: a B between digits is an 8; a run of 6 to 8 digits gets its point before the last two."""
+    plain = F.regexp_replace(F.upper(F.regexp_replace(text, r"\s", "")), r"(?<=[0-9.])B(?=[0-9.])", "8")
+    return F.regexp_replace(plain, r"^([NE])[.:]?(\d{4,6})(\d{2})$", "$1$2.$3")
+
+
+def readings(text: Column) -> Column:
+    """array<struct<axis, value>> of the distinct ways to read a lettered coordinate: as written, and repaired."""
+    lettered = r"^([NYEX])[.:]?(\d{4,8}(?:\.\d+)?)$"
+
+    def read(t: Column) -> Column:
+        axis = F.regexp_extract(t, lettered, 1)
+        return F.struct(F.when(axis.isin("N", "Y"), "N").when(axis.isin("E", "X"), "E").alias("axis"), F.nullif(F.regexp_extract(t, lettered, 2), F.lit("")).cast("double").alias("value"))
+
+    plain = F.upper(F.regexp_replace(text, r"\s", ""))
+    return F.filter(F.array_distinct(F.array(read(plain), read(repaired_coordinate(text)))), lambda x: x["value"].isNotNull())
+
+
+def context_guard(text: Column) -> Column:
+    """Why a number in a text is no length: station, area, notes, detail or scale; null if nothing speaks against it."""
+    tests = {"station": r"\d\+\d|\bsta\b", "area": r"sq\.?\s?ft|\bacres?\b|\bac\.|±", "notes": r"\b(epoch|datum)\b", "detail": r"\bdetail\b", "scale": r"\b(n\.?t\.?s\b|not\s+to\s+scale\b)"}
+    out = F.lit(None).cast("string")
+    for kind, pattern in reversed(tests.items()):
+        out = F.when(text.rlike("(?i)" + pattern), F.lit(kind)).otherwise(out)
+    return out
+
+
+def survey_notation(text: Column) -> Column:
+    """One way to write a bearing, an angle or a distance whose marks were misread; other texts lose spaces and bars only."""
+    t = F.upper(F.regexp_replace(canonical_quotes(text), r"[\s|\[\]]", ""))
+    t = F.regexp_replace(F.regexp_replace(F.translate(t, "º˚", "°°"), "''", '"'), r"^\$(?=\d)", "S")
+    mark, end = r"[°*.O'\"]?", r"[\"'*]"
+    bearing = rf"^([NS])0*(\d{{1,2}}?){mark}(\d{{2}})['*°]?(\d{{2}}){end}*([EW])((?:\(.\))?)$"
+    angle = rf"^0*(\d{{1,3}}?){mark}(\d{{2}})['*°]?(\d{{2}}){end}+((?:\(.\))?)$"
+    distance = r"^([\d,]*\d\.\d{2})'?((?:\(.\))?)$"
+    return F.when(t.rlike(bearing), F.regexp_replace(t, bearing, "$1$2°$3'$4\"$5$6")).when(t.rlike(angle), F.regexp_replace(t, angle, "$1°$2'$3\"$4")).when(t.rlike(distance), F.regexp_replace(t, distance, "$1$2")).otherwise(t)

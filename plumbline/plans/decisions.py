@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import geometry
-from plumbline.operators import aggregates, cascades, joins, sequences
+from plumbline.functions import geometry, parsing
+from plumbline.operators import aggregates, cascades, joins, keepers, sequences
 from plumbline.plans._registry import query
 
 
@@ -163,3 +163,43 @@ def claim_in_order(t):
     near = joins.band_join(t("supplier"), t("customer"), "s_acctbal", "c_acctbal", 200.0, [("s_nationkey", "c_nationkey")])
     near = near.withColumn("d", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 2))
     return cascades.claim_in_order(near, "s_suppkey", "c_custkey", "d")
+
+
+@query()
+def seed_groups(t):
+    """Places of parts (size, price) within 1.5 of an earlier one that is a seed."""
+    return keepers.seed_groups(t("part").selectExpr("p_partkey", "cast(p_size as double) x", "p_retailprice y"), "p_partkey", "x", "y", 1.5)
+
+
+@query()
+def box_keepers(t):
+    boxes = t("part").selectExpr("p_partkey", "cast(p_size as double) x0", "p_retailprice y0", "p_size + 3.0D + p_partkey % 3 x1", "p_retailprice + 4.0D y1")
+    return keepers.box_keepers(boxes, "p_partkey", ("x0", "y0", "x1", "y1"), 6.0)
+
+
+@query()
+def chain_keepers(t):
+    """Each supplier's parts are a chain of places; one that mostly follows a longer chain goes."""
+    places = t("lineitem").where("l_quantity <= 10").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).selectExpr("l_suppkey % 20 * 7 + p_size % 3 chain", "cast(p_size as double) x", "round(p_retailprice / 3) * 3 y").distinct()
+    sized = places.join(places.groupBy("chain").agg(F.count("*").alias("n")), "chain")
+    return keepers.chain_keepers(sized, "chain", "x", "y", "n", 1.0)
+
+
+@query()
+def eliminate_worst(t):
+    fit = keepers.eliminate_worst(t("part").where("p_size > 1"), ["p_brand"], "p_partkey", "p_size", "p_retailprice", 51.5)
+    return fit.select("p_brand", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'N1081.' || lpad((event_id % 100)::VARCHAR, 2, '0') WHEN event_id % 3 = 1 THEN 'E10' || lpad((event_id % 100)::VARCHAR, 2, '0') || '.25' ELSE 'N' || (2000 + event_id % 7000)::VARCHAR || '.50' END AS repaired,
+  CASE WHEN event_id % 3 = 2 THEN 2 ELSE 1 END::INTEGER AS readings FROM events""")
+def coordinate_readings(t):
+    tail = F.lpad((F.col("event_id") % 100).cast("string"), 2, "0")
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.concat(F.lit("n 10B1"), tail)).when(k == 1, F.concat(F.lit("E10"), tail, F.lit(".25"))).otherwise(F.concat(F.lit("N."), (F.col("event_id") % 7000 + 2000).cast("string"), F.lit("50")))
+    return t("events").select("event_id", parsing.repaired_coordinate(text).alias("repaired"), F.size(parsing.readings(text)).alias("readings"))
+
+
+@query(r"""SELECT role, CASE WHEN regexp_matches(text, '(?i)\d\+\d|\bsta\b') THEN 'station' WHEN regexp_matches(text, '(?i)sq\.?\s?ft|\bacres?\b|\bac\.|±') THEN 'area' WHEN regexp_matches(text, '(?i)\b(epoch|datum)\b') THEN 'notes' WHEN regexp_matches(text, '(?i)\bdetail\b') THEN 'detail' WHEN regexp_matches(text, '(?i)\b(n\.?t\.?s\b|not\s+to\s+scale\b)') THEN 'scale' ELSE 'none' END AS guard, count(*) AS n FROM conversations GROUP BY 1, 2""")
+def context_guards(t):
+    return t("conversations").groupBy("role", F.coalesce(parsing.context_guard(F.col("text")), F.lit("none")).alias("guard")).agg(F.count("*").alias("n"))
