@@ -128,3 +128,50 @@ def unbranched_paths(edges: DataFrame, key: str, u: str, v: str) -> DataFrame:
     links = ends.groupBy("x").agg(F.count("*").alias("n"), F.min(key).alias("a"), F.max(key).alias("b")).where("n = 2 and a <> b")
     found = components(links, "a", "b")
     return edges.join(found, edges[key] == found["node"], "left").select(key, F.coalesce("component", key).alias("path"))
+
+
+def trace_unique(edges: DataFrame, starts: DataFrame, u: str, v: str, hops: int = 4) -> DataFrame:
+    """Follow each start through nodes with exactly one way on, at most ``hops`` times.
+
+    ``starts`` has one column, its name is kept. Returns it, the node where the trace stops and the hops made.
+    """
+    start = starts.columns[0]
+    on = edges.groupBy(F.col(u).alias("_u")).agg(F.count("*").alias("_n"), F.min(v).alias("_v")).where("_n = 1").drop("_n")
+    out = starts.select(start, F.col(start).alias("stop"), F.lit(0).alias("hops"))
+    for i in range(hops):
+        out = out.join(on, (F.col("stop") == F.col("_u")) & (F.col("hops") == i), "left")
+        out = out.select(start, F.coalesce("_v", "stop").alias("stop"), (F.col("hops") + F.col("_u").isNotNull().cast("int")).alias("hops"))
+    return out
+
+
+def two_lengths(df: DataFrame, by: list[str], value: str, ratio: float = 2.0, share: float = 0.3) -> DataFrame:
+    """Whether a group has two kinds of values: those above the middle of its range average ``ratio`` times the others,
+    and each kind has at least ``share`` of the rows. Returns by, short, long (averages) and two_kinds."""
+    ends = df.groupBy(*by).agg(((F.max(value) + F.min(value)) / 2).alias("_cut"))
+    high = F.col(value) > F.col("_cut")
+    s = df.join(ends, by).where(F.col(value).isNotNull()).groupBy(*by).agg(F.avg(F.when(~high, F.col(value))).alias("short"), F.avg(F.when(high, F.col(value))).alias("long"), F.avg(high.cast("double")).alias("_p"))
+    two = (F.col("long") >= ratio * F.col("short")) & F.col("_p").between(share, 1 - share)
+    return s.select(*by, "short", "long", F.coalesce(two, F.lit(False)).alias("two_kinds"))
+
+
+def offsets_between(df: DataFrame, cell: list[str], line: str, value: str) -> DataFrame:
+    """Mean offset of each pair of lines over the cells that both meet: a, b, cells, offset, rms.
+
+    Rows become one mean for each cell and line first; pairs are of lines within a cell.
+    """
+    means = df.groupBy(*cell, line).agg(F.avg(value).alias("_m"))
+    a = means.select(*cell, F.col(line).alias("a"), F.col("_m").alias("_ma"))
+    b = means.select(*cell, F.col(line).alias("b"), F.col("_m").alias("_mb"))
+    d = F.col("_ma") - F.col("_mb")
+    return a.join(b, cell).where("a < b").groupBy("a", "b").agg(F.count("*").alias("cells"), F.avg(d).alias("offset"), F.sqrt(F.avg(d * d)).alias("rms"))
+
+
+def tangent_triples(lines: DataFrame, curves: DataFrame) -> DataFrame:
+    """Line, curve, line that share ends: keys of the three and the turn at the curve less its angle, in degrees of (-180, 180].
+
+    ``lines`` has k, u, v, az; ``curves`` has k, u, v, delta.
+    """
+    into = lines.select(F.col("k").alias("line_in"), F.col("v").alias("u"), F.col("az").alias("_a"))
+    out = lines.select(F.col("k").alias("line_out"), F.col("u").alias("v"), F.col("az").alias("_b"))
+    off = F.pmod(F.col("_b") - F.col("_a") - F.col("delta") + 180, F.lit(360.0)) - 180
+    return curves.join(into, "u").join(out, "v").select("line_in", F.col("k").alias("curve"), "line_out", F.when(off == -180, 180.0).otherwise(off).alias("off"))

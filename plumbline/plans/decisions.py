@@ -203,3 +203,33 @@ def coordinate_readings(t):
 @query(r"""SELECT role, CASE WHEN regexp_matches(text, '(?i)\d\+\d|\bsta\b') THEN 'station' WHEN regexp_matches(text, '(?i)sq\.?\s?ft|\bacres?\b|\bac\.|±') THEN 'area' WHEN regexp_matches(text, '(?i)\b(epoch|datum)\b') THEN 'notes' WHEN regexp_matches(text, '(?i)\bdetail\b') THEN 'detail' WHEN regexp_matches(text, '(?i)\b(n\.?t\.?s\b|not\s+to\s+scale\b)') THEN 'scale' ELSE 'none' END AS guard, count(*) AS n FROM conversations GROUP BY 1, 2""")
 def context_guards(t):
     return t("conversations").groupBy("role", F.coalesce(parsing.context_guard(F.col("text")), F.lit("none")).alias("guard")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT c_custkey AS u, (c_custkey * 37 + 11) % 1009 AS v FROM customer WHERE c_mktsegment <> 'BUILDING'), o AS (SELECT u, min(v) AS v FROM (SELECT u % 300 AS u, v FROM e) GROUP BY u HAVING count(*) = 1),
+  s0 AS (SELECT s_suppkey AS s, s_suppkey AS x, 0 AS h FROM supplier), s1 AS (SELECT s, coalesce(v, x) AS x, h + CASE WHEN v IS NULL THEN 0 ELSE 1 END AS h FROM s0 LEFT JOIN o ON x = u AND h = 0),
+  s2 AS (SELECT s, coalesce(v, x) AS x, h + CASE WHEN v IS NULL THEN 0 ELSE 1 END AS h FROM s1 LEFT JOIN o ON x = u AND h = 1), s3 AS (SELECT s, coalesce(v, x) AS x, h + CASE WHEN v IS NULL THEN 0 ELSE 1 END AS h FROM s2 LEFT JOIN o ON x = u AND h = 2),
+  s4 AS (SELECT s, coalesce(v, x) AS x, h + CASE WHEN v IS NULL THEN 0 ELSE 1 END AS h FROM s3 LEFT JOIN o ON x = u AND h = 3) SELECT s AS s_suppkey, x AS stop, h AS hops FROM s4""")
+def trace_unique(t):
+    edges = t("customer").where("c_mktsegment <> 'BUILDING'").selectExpr("c_custkey % 300 u", "(c_custkey * 37 + 11) % 1009 v")
+    return cascades.trace_unique(edges, t("supplier").select("s_suppkey"), "u", "v", 4)
+
+
+@query("""WITH c AS (SELECT user_id, event_type, (max(value) + min(value)) / 2 AS cut FROM events GROUP BY 1, 2), s AS (SELECT user_id, event_type, avg(CASE WHEN value <= cut THEN value END) AS a, avg(CASE WHEN value > cut THEN value END) AS b, avg(CASE WHEN value > cut THEN 1.0 ELSE 0.0 END) AS p FROM events JOIN c USING (user_id, event_type) GROUP BY 1, 2)
+  SELECT user_id, event_type, round(a, 6) AS short, round(b, 6) AS long, coalesce(b >= 2 * a AND p BETWEEN 0.3001 AND 0.6999, false) AS two_kinds FROM s""")
+def two_lengths(t):
+    out = cascades.two_lengths(t("events"), ["user_id", "event_type"], "value", share=0.3001)
+    return out.select("user_id", "event_type", F.round("short", 6).alias("short"), F.round("long", 6).alias("long"), "two_kinds")
+
+
+@query("""WITH m AS (SELECT user_id, event_type, avg(value) AS m FROM events GROUP BY 1, 2) SELECT x.event_type AS a, y.event_type AS b, count(*) AS cells, round(avg(x.m - y.m), 6) AS "offset", round(sqrt(avg((x.m - y.m) * (x.m - y.m))), 6) AS rms FROM m x JOIN m y USING (user_id) WHERE x.event_type < y.event_type GROUP BY 1, 2""")
+def offsets_between(t):
+    out = cascades.offsets_between(t("events"), ["user_id"], "event_type", "value")
+    return out.select("a", "b", "cells", F.round("offset", 6).alias("offset"), F.round("rms", 6).alias("rms"))
+
+
+@query("""SELECT a.s_suppkey AS line_in, b.s_suppkey AS curve, c.s_suppkey AS line_out, round(c.s_nationkey * 14.0 - a.s_nationkey * 14.0 - b.s_nationkey * 3.0 + CASE WHEN c.s_nationkey * 14.0 - a.s_nationkey * 14.0 - b.s_nationkey * 3.0 <= -180 THEN 360 WHEN c.s_nationkey * 14.0 - a.s_nationkey * 14.0 - b.s_nationkey * 3.0 > 180 THEN -360 ELSE 0 END, 6)::DOUBLE AS "off"
+  FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1 JOIN supplier c ON c.s_suppkey = b.s_suppkey + 1 WHERE b.s_suppkey % 2 = 1""")
+def tangent_triples(t):
+    s = t("supplier").selectExpr("s_suppkey k", "s_suppkey u", "s_suppkey + 1 v", "s_nationkey * 14.0D az", "s_nationkey * 3.0D delta")
+    out = cascades.tangent_triples(s.where("k % 2 = 0").drop("delta"), s.where("k % 2 = 1").drop("az"))
+    return out.select("line_in", "curve", "line_out", F.round("off", 6).alias("off"))

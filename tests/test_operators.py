@@ -173,3 +173,27 @@ def test_stations_and_boxes(spark):
     assert one(spark, geometry.in_any_box(F.lit(None).cast("double"), F.lit(1.0), [(0, 0, 2, 2)])) is None
     verdict = lambda r, d, length: one(spark, geometry.curve_verdict(F.lit(r), F.lit(d), F.lit(length)))
     assert verdict(100.0, 90.0, 157.08) == "pass" and verdict(100.0, 90.0, 150.0) == "fail" and verdict(100.0, 5.0, 9.0) == "unproven"
+
+
+def test_trace_stops_at_branches(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (3, 5), (6, 7), (7, 8), (8, 9), (9, 10), (10, 11)], "u int, v int")
+    out = cascades.trace_unique(edges, spark.createDataFrame([(1,), (6,), (99,)], "s int"), "u", "v", 4)
+    assert {tuple(r) for r in out.collect()} == {(1, 3, 2), (6, 10, 4), (99, 99, 0)}
+
+
+def test_two_lengths(spark):
+    rows = [("a", x) for x in (1.0, 1.2, 5.0, 5.5, None)] + [("b", x) for x in (1.0, 1.1, 1.2, 1.3)] + [("c", 2.0)]
+    out = cascades.two_lengths(spark.createDataFrame(rows, "k string, v double"), ["k"], "v")
+    assert {r.k: r.two_kinds for r in out.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_offsets_between_lines(spark):
+    rows = [(c, line, base + c) for c in range(3) for line, base in (("x", 1.0), ("y", 3.0)) for _ in range(2)] + [(9, "x", 50.0)]
+    out = cascades.offsets_between(spark.createDataFrame(rows, "c int, line string, z double"), ["c"], "line", "z")
+    assert [tuple(r) for r in out.collect()] == [("x", "y", 3, -2.0, 2.0)]
+
+
+def test_tangent_triples(spark):
+    lines = spark.createDataFrame([(1, 10, 11, 350.0), (2, 12, 13, 20.0)], "k int, u int, v int, az double")
+    curves = spark.createDataFrame([(5, 11, 12, 30.0), (6, 11, 99, 1.0)], "k int, u int, v int, delta double")
+    assert [tuple(r) for r in cascades.tangent_triples(lines, curves).collect()] == [(1, 5, 2, 0.0)]
