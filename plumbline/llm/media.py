@@ -2,11 +2,12 @@
 
 Corners are found at several scales; around each, 256 comparisons of a fixed
 pattern, turned to the patch's own orientation, make a binary descriptor.
-Descriptors are cut in bands: two that differ in fewer bits than there are
-bands agree in one, so that an equi-join on band values (Hamming tables) finds
-every such pair. Image pairs with enough common bands are checked in full:
-descriptors match within the radius, each match proposes a similarity
-transform, and a copy is what enough matches agree on.
+Descriptors are cut in bands, and queries also ask for every band with one bit
+turned: two descriptors that differ in fewer bits than twice the bands differ
+in at most one bit of some band, so that equal band values (Hamming tables)
+find every such pair. Queries travel in blocks of bounded size to where the
+other descriptors are; descriptors match within the radius, each match proposes
+a similarity transform, and a copy is what enough matches agree on.
 """
 
 from __future__ import annotations
@@ -20,19 +21,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._common import Scratch
-from plumbline.llm.jaccard_join import BITMAP, _mark, _marked
 
 SCALES = (1.0, 0.7, 0.5)
-CORNERS = 16  # strongest corners of an image, over all scales
-BANDS = 6
-RADIUS = BANDS - 1  # bits in which matching descriptors differ at most
+CORNERS = 64  # strongest corners of an image at each scale
+BANDS = 8  # of 32 bits
+RADIUS = 2 * BANDS - 1  # bits in which matching descriptors differ at most
+SEEN = 200_000  # distinct images whose copies a task recognises at once
+BLOCK = 40_000  # query descriptors that are sought at once
+CANDIDATES = 1 << 20  # pairs that a task holds at once
 REACH = 10  # pixels of a patch around its corner
 _PATTERN = np.clip(np.random.RandomState(7).normal(0, REACH / 2.5, (256, 2, 2)), -REACH, REACH)
 _DISC = np.array([(x, y) for x in range(-8, 9) for y in range(-8, 9) if x * x + y * y <= 64])
-#: Each bit's weight in its band; bands differ by a bit in length at most.
-_BAND_OF = np.zeros((256, BANDS), dtype=np.int64)
-for _k, _part in enumerate(np.array_split(np.arange(256), BANDS)):
-    _BAND_OF[_part, _k] = 1 << np.arange(len(_part))
+#: What a probe turns in a band: nothing, or one bit.
+_TURNED = np.r_[0, 1 << np.arange(32)].astype(np.uint32)
 _PNM = re.compile(rb"P([56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(\d+)\s+(\d+)\s")
 
 
@@ -54,7 +55,7 @@ def encode_pgm(img: np.ndarray) -> bytes:
     return b"P5 %d %d 255\n" % (img.shape[1], img.shape[0]) + np.clip(np.rint(img), 0, 255).astype(np.uint8).tobytes()
 
 
-def picture_of(vector: list[float] | None, side: int = 8, cell: int = 4) -> bytes | None:
+def picture_of(vector: list[float] | None, side: int = 8, cell: int = 8) -> bytes | None:
     """A square grey picture of a vector, for tables without images: one cell a number, smoothed."""
     v = np.array([0.0 if x is None else x for x in vector or []], dtype=np.float64)[: side * side]
     if not len(v):
@@ -99,6 +100,8 @@ def describe(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p = np.pad(r, 1, constant_values=-np.inf)
         around = np.max([p[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], axis=0)
         y, x = np.nonzero((r > around) & (r > max(1.0, 0.01 * r.max())))
+        strong = np.argsort(-r[y, x], kind="stable")[:CORNERS]
+        y, x = y[strong], x[strong]
         found.append((level, s, x, y, r[y, x]))
     if not found or not sum(len(f[2]) for f in found):
         return np.zeros((0, 4), dtype=np.float32), np.zeros((0, 32), dtype=np.uint8)
@@ -116,18 +119,59 @@ def describe(img: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits.append(np.packbits(value[:, :, 0] < value[:, :, 1], axis=1))
         points.append(np.stack([(x + 0.5) / s, (y + 0.5) / s, np.full(len(x), 1 / s), angle], axis=1))
         force.append(r)
-    order = np.argsort(-np.concatenate(force), kind="stable")[:CORNERS]
+    order = np.argsort(-np.concatenate(force), kind="stable")
     return np.concatenate(points)[order].astype(np.float32), np.concatenate(bits)[order]
 
 
-def band_keys(bits: np.ndarray) -> np.ndarray:
-    """A key for each descriptor and band: the band's number and its bits."""
-    value = np.unpackbits(bits, axis=1).astype(np.int64) @ _BAND_OF
-    return (value * 0x9E3779B1 + np.arange(BANDS) * 0x632BE5AB) & ((1 << 62) - 1)
+def band_keys(bits: np.ndarray, probes: bool = False) -> np.ndarray:
+    """Values of the bands of each descriptor (a row); ``probes``: by band, each value and those with a bit turned."""
+    value = np.ascontiguousarray(bits).view("<u4")
+    return value[:, :, None] ^ _TURNED if probes else value
+
+
+class HammingTables:
+    """Sorted probes of query descriptors."""
+
+    def __init__(self, bits: np.ndarray):
+        self.words = np.ascontiguousarray(bits).view(np.uint64)
+        probes = band_keys(bits, probes=True)
+        self.tables = []
+        for k in range(BANDS):
+            flat = probes[:, k].ravel()
+            order = np.argsort(flat, kind="stable")
+            self.tables.append((flat[order], (order // len(_TURNED)).astype(np.int32)))
+
+    def within(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (row of bits, query descriptor) that differ in RADIUS bits at most, each once."""
+        words, values, found = np.ascontiguousarray(bits).view(np.uint64), band_keys(bits), []
+        for k, (keys, owner) in enumerate(self.tables):
+            low = np.searchsorted(keys, values[:, k], side="left")
+            n = np.searchsorted(keys, values[:, k], side="right") - low
+            total = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                base = total[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(total, base + CANDIDATES, side="right")))
+                i = np.repeat(np.arange(at, stop), n[at:stop])
+                j = owner[np.arange(len(i)) - np.repeat(total[at:stop] - n[at:stop] - base, n[at:stop]) + low[i]]
+                near = np.bitwise_count(words[i] ^ self.words[j]).sum(axis=1) <= RADIUS
+                found.append(i[near] * len(self.words) + j[near])
+                at = stop
+        pairs = np.unique(np.concatenate(found))
+        return np.divmod(pairs, max(1, len(self.words)))
+
+
+def _places(at: np.ndarray, pixels: float) -> int:
+    """How many points are farther than ``pixels`` from each one counted before: a corner seen at several scales is one."""
+    n = 0
+    while len(at):
+        at = at[np.linalg.norm(at - at[0], axis=1) > pixels]
+        n += 1
+    return n
 
 
 def consensus(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int, pixels: float = 3.0) -> tuple[int, float, float, float, float]:
-    """Largest number of corners of one image that one similarity transform carries to matching corners of the other.
+    """Largest number of places of corners of one image that one similarity transform carries to matching corners of the other.
 
     Returns it with scale, rotation (degrees) and shift of the transform.
     """
@@ -143,13 +187,16 @@ def consensus(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, radius
         shift = q[j[m], :2] - rot @ p[i[m], :2]
         off = np.linalg.norm(p[i, :2] @ rot.T + shift - q[j, :2], axis=1)
         agree = off <= pixels * max(1.0, scale)
-        n = min(len(set(i[agree].tolist())), len(set(j[agree].tolist())))
+        ours, theirs = set(i[agree].tolist()), set(j[agree].tolist())
+        n = min(len(ours), len(theirs))
+        if n > best[0]:
+            n = min(_places(p[sorted(ours), :2], pixels), _places(q[sorted(theirs), :2], pixels))
         if n > best[0]:
             best = (n, scale, float(np.degrees(turn)) % 360, float(shift[0]), float(shift[1]))
     return best
 
 
-def find_copies(df: DataFrame, image: Column, row_id: str, is_query: Column, min_corners: int = 4, min_common: int = 3) -> DataFrame:
+def find_copies(df: DataFrame, image: Column, row_id: str, is_query: Column, min_corners: int = 4) -> DataFrame:
     """Search every image for copies of the query images, cropped or edited.
 
     Returns rows of two kinds. 'member': image_id, class_id (the smallest id
@@ -158,8 +205,6 @@ def find_copies(df: DataFrame, image: Column, row_id: str, is_query: Column, min
     corners that agree, scale, rotation, dx, dy. Copies are not expanded into
     pairs. Images without corners match their class only. Rows repeat as they
     come; other columns are ignored; an empty table gives an empty table.
-    ``min_common`` distinct query corners must share a band before a pair is
-    checked; it must not exceed ``min_corners``.
     """
     spark = df.sparkSession
     scratch = Scratch(spark)
@@ -168,23 +213,29 @@ def find_copies(df: DataFrame, image: Column, row_id: str, is_query: Column, min
     classes = features.where("digest is not null").groupBy("digest").agg(F.min("image_id").alias("class_id"), F.max("is_query").alias("asks"))
     classes = scratch.write(classes, "classes")
     members = features.select("image_id", "digest", "is_query").join(classes, "digest", "left").select("image_id", F.coalesce("class_id", "image_id").alias("class_id"), "is_query")
-    # One row for each class goes on.
-    reps = features.select(F.col("image_id").alias("class_id"), "corners", "bits", "digest").where("length(bits) > 0").join(classes.select("class_id", "digest", "asks"), ["class_id", "digest"]).dropDuplicates(["class_id"])
-    reps = scratch.write(reps, "classes")
-    asked = _bands(reps.where("asks").select("class_id", "bits"), None)
-    asked = scratch.write(asked.select(F.col("class_id").alias("q"), F.col("corner").alias("q_corner"), "band"), "asked")
-    bitmap = _mark(asked, "band")
     none = "cast(null as long) match_class, cast(null as int) corners, cast(null as double) scale, cast(null as double) rotation, cast(null as double) dx, cast(null as double) dy"
     out = members.selectExpr("'member' kind", "image_id", "class_id", "is_query", *none.split(", "))
-    if bitmap is None:
-        return out
-    shelf = _bands(reps.select("class_id", "bits"), bitmap)
-    common = asked.join(shelf, "band").where("q <> class_id").select("q", "q_corner", "class_id").distinct()
-    pairs = common.groupBy("q", "class_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_common).select("q", "class_id")
-    pairs = pairs.join(reps.select("class_id", F.col("corners").alias("p2"), F.col("bits").alias("b2")), "class_id")
-    pairs = pairs.join(reps.select(F.col("class_id").alias("q"), F.col("corners").alias("p1"), F.col("bits").alias("b1")), "q")
-    match = _checked(pairs.select("q", "class_id", "p1", "b1", "p2", "b2"), min_corners)
-    return out.unionByName(match.selectExpr("'match' kind", "q image_id", "q class_id", "true is_query", "class_id match_class", "corners", "scale", "rotation", "dx", "dy"))
+    asked = features.where("is_query and length(bits) > 0").dropDuplicates(["digest"]).join(classes.select("digest", F.col("class_id").alias("q")), "digest")
+    asked = scratch.write(asked.select("q", "corners", "bits"), "asked")
+    shelf = features.where("length(bits) > 0").select("digest", "corners", "bits")
+    for block in _blocks(asked):
+        match = scratch.write(_matches(shelf, block, min_corners), "match").dropDuplicates(["q", "digest"])
+        match = match.join(classes.select("digest", "class_id"), "digest").where("q <> class_id")
+        out = out.unionByName(match.selectExpr("'match' kind", "q image_id", "q class_id", "true is_query", "class_id match_class", "corners", "scale", "rotation", "dx", "dy"))
+    return out
+
+
+def _blocks(asked: DataFrame):
+    """Query images, as (ids, corners, bits) of about BLOCK descriptors."""
+    block, held = [], 0
+    for row in asked.toLocalIterator():
+        block.append((row.q, bytes(row.corners), bytes(row.bits)))
+        held += len(row.bits) // 32
+        if held >= BLOCK:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
 
 
 def _features(rows: DataFrame) -> DataFrame:
@@ -210,45 +261,59 @@ def _features(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "image_id long, is_query boolean, digest binary, corners binary, bits binary")
 
 
-def _bands(reps: DataFrame, bitmap: np.ndarray | None) -> DataFrame:
-    """class_id, corner, band of all descriptors; with a bitmap only those that are marked in it."""
-    shared = reps.sparkSession.sparkContext.broadcast(bitmap)  # 2**BITMAP bits
-    assert BITMAP <= 30
+def _matches(shelf: DataFrame, block: list[tuple[int, bytes, bytes]], min_corners: int) -> DataFrame:
+    """q, digest and transform of all copies of a block's queries; a digest repeats at most once a task."""
+    shared = shelf.sparkSession.sparkContext.broadcast(block)  # about BLOCK descriptors
 
     def run(batches):
+        points = [np.frombuffer(x[1], dtype=np.float32).reshape(-1, 4) for x in shared.value]
+        bits = [np.frombuffer(x[2], dtype=np.uint8).reshape(-1, 32) for x in shared.value]
+        query = np.repeat(np.arange(len(bits)), [len(b) for b in bits])
+        every, tables, seen = np.concatenate(points), HammingTables(np.concatenate(bits)), set()
         for batch in batches:
-            ids, corner, band = [], [], []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = band_keys(np.frombuffer(data, dtype=np.uint8).reshape(-1, 32))
-                k = np.repeat(np.arange(len(keys)), BANDS)
-                keys = keys.ravel()
-                if shared.value is not None:
-                    hit = _marked(shared.value, keys.view(np.uint64))
-                    k, keys = k[hit], keys[hit]
-                ids.append(np.full(len(k), i, dtype=np.int64))
-                corner.append(k)
-                band.append(keys)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(corner).astype(np.int32)), pa.array(np.concatenate(band))], names=["class_id", "corner", "band"])
-
-    return reps.mapInArrow(run, "class_id long, corner int, band long")
-
-
-def _checked(pairs: DataFrame, min_corners: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for q, c, p1, b1, p2, b2 in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                floats = [np.frombuffer(x, dtype=np.float32).reshape(-1, 4) for x in (p1, p2)]
-                bits = [np.frombuffer(x, dtype=np.uint8).reshape(-1, 32) for x in (b1, b2)]
-                n, *rest = consensus(floats[0], bits[0], floats[1], bits[1], RADIUS)
-                if n >= min_corners:
-                    rows.append((q, c, n, *rest))
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
-            types = (pa.int64(), pa.int64(), pa.int32(), *[pa.float64()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["q", "class_id", "corners", "scale", "rotation", "dx", "dy"])
-
-    return pairs.mapInArrow(run, "q long, class_id long, corners int, scale double, rotation double, dx double, dy double")
+            for s in range(0, batch.num_rows, 100):
+                rows, fresh = [], []
+                for digest, p, b in zip(*[x.to_pylist() for x in batch.slice(s, 100).columns], strict=True):
+                    if digest not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(digest)
+                        fresh.append((digest, np.frombuffer(p, dtype=np.float32).reshape(-1, 4), np.frombuffer(b, dtype=np.uint8).reshape(-1, 32)))
+                if fresh:
+                    image = np.repeat(np.arange(len(fresh)), [len(x[2]) for x in fresh])
+                    i, j = tables.within(np.concatenate([x[2] for x in fresh]))
+                    for c, q in likely(image[i] * len(bits) + query[j], every[j], np.concatenate([x[1] for x in fresh])[i], min_corners, len(bits)):
+                        n, *rest = consensus(points[q], bits[q], fresh[c][1], fresh[c][2], RADIUS)
+                        if n >= min_corners:
+                            rows.append((shared.value[q][0], fresh[c][0], n, *rest))
+                columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
+                types = (pa.int64(), pa.binary(), pa.int32(), *[pa.float64()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names=["q", "digest", "corners", "scale", "rotation", "dx", "dy"])
+
+    return shelf.mapInArrow(run, "q long, digest binary, corners int, scale double, rotation double, dx double, dy double")
+
+
+def likely(group: np.ndarray, p: np.ndarray, q: np.ndarray, least: int, width: int, pixels: float = 3.0):
+    """Groups (row, column of ``width`` columns) of matches p -> q of which one carries ``least`` matches; large ones unseen."""
+    order = np.argsort(group, kind="stable")
+    group, p, q = group[order], p[order].astype(np.float64), q[order].astype(np.float64)
+    names, first, size = np.unique(group, return_index=True, return_counts=True)
+    for g in names[size > 32].tolist():
+        yield divmod(g, width)
+    for k in range(least, 33):
+        starts = first[size == k]
+        step = max(1, CANDIDATES // (k * k))
+        for s in range(0, len(starts), step):
+            at = starts[s : s + step, None] + np.arange(k)
+            a, b = p[at], q[at]  # groups, matches, (x, y, size, angle)
+            scale, turn = b[..., 2] / a[..., 2], b[..., 3] - a[..., 3]
+            cos, sin = (scale * np.cos(turn))[:, :, None], (scale * np.sin(turn))[:, :, None]
+            dx, dy = a[:, None, :, 0] - a[:, :, None, 0], a[:, None, :, 1] - a[:, :, None, 1]
+            x = cos * dx - sin * dy - (b[:, None, :, 0] - b[:, :, None, 0])
+            y = sin * dx + cos * dy - (b[:, None, :, 1] - b[:, :, None, 1])
+            agree = np.hypot(x, y) <= pixels * np.maximum(1.0, scale)[:, :, None] + 1e-3
+            for g in group[at[agree.sum(axis=2).max(axis=1) >= least, 0]].tolist():
+                yield divmod(g, width)
 
 
 def picture_column(df: DataFrame, vector: str) -> DataFrame:

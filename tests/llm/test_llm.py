@@ -191,6 +191,26 @@ def test_copies(spark):
     assert media.find_copies(df.limit(0), F.col("image"), "id", F.col("id") % 100 == 0).count() == 0
 
 
+def test_bands_meet_within_the_radius():
+    rng = np.random.RandomState(6)
+    a = rng.randint(0, 256, (300, 32)).astype(np.uint8)
+    flips = np.array([np.packbits(np.isin(np.arange(256), rng.permutation(256)[:15])) for _ in a])
+    i, j = media.HammingTables(a).within(a ^ flips)
+    assert media.RADIUS == 15 and {(k, k) for k in range(300)} <= set(zip(i.tolist(), j.tolist(), strict=True))
+
+
+def test_noisy_copies_and_small_crops(spark):
+    rng = np.random.RandomState(2)
+    vectors = [rng.normal(size=64).tolist() for _ in range(6)]
+    grey = [media.decode_image(media.picture_of(v)) for v in vectors]
+    assert grey[0].shape == (64, 64) and len(set(media.describe(grey[0])[0][:, 2].tolist())) == 3
+    rows = [(100 * k, g) for k, g in enumerate(grey)]
+    rows += [(1 + k, g + rng.normal(0, 4, g.shape)) for k, g in enumerate(grey[:3])] + [(4 + k, g[6:58, 8:60]) for k, g in enumerate(grey[3:])]
+    df = spark.createDataFrame([(i, bytearray(media.encode_pgm(p))) for i, p in rows], "id long, image binary")
+    got = media.find_copies(df, F.col("image"), "id", F.col("id") % 100 == 0).where("kind = 'match'").collect()
+    assert {(r.class_id, r.match_class) for r in got} == {(100 * k, 1 + k) for k in range(6)}
+
+
 def test_shards(docs, odd, empty):
     got = sharding.extendible_shards(docs, 50_000).toPandas()
     assert len(got) == docs.count()
