@@ -147,6 +147,15 @@ def knn_embeddings(t):
     return out.select("vec_id", "nearest", "label_found", F.round("d_nearest", 5).alias("d_nearest"), F.round("d_other", 5).alias("d_other"))
 
 
+@query()
+def knn_all_embeddings(t):
+    """Every vector against all others: no twin, as all pairs are too slow there at larger tables."""
+    e = t("embeddings")
+    others = e.select(F.col("vec_id").alias("eid"), F.col("embedding").alias("evec"), "label")
+    out = fits.nearest_exemplar(e, others, "vec_id", "embedding", "eid", "evec", "label")
+    return out.select("vec_id", "nearest", "label_found", F.round("d_nearest", 5).alias("d_nearest"), F.round("d_other", 5).alias("d_other"))
+
+
 @query("""WITH c AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
   d AS (SELECT vec_id, v.label, c.label AS l, sum((x - m) * (x - m)) AS d FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) v JOIN c USING (i) GROUP BY 1, 2, 3)
   SELECT vec_id, label, l AS found FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(d, 9), l) AS r FROM d) WHERE r = 1""")
