@@ -39,6 +39,22 @@ def dilate_erode(t):
     return graph.erode(graph.dilate(_cells(t)))
 
 
+def _all_cells(t):
+    return t("part").selectExpr("p_size ix", "floor(p_retailprice / 50) iy").distinct()
+
+
+@query()
+def raster_label_all(t):
+    """Regions of the cells of all parts; the recursive twin is too slow there."""
+    return graph.label_cells(_all_cells(t))
+
+
+@query()
+def dilate_erode_all(t):
+    """Morphological closing of the cells of all parts."""
+    return graph.erode(graph.dilate(_all_cells(t)))
+
+
 @query("""WITH RECURSIVE d AS (SELECT doc_id, lang, md5(text) AS k FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, k) AS keeper FROM d""")
 def twin_dedupe(t):
     """Twins by equal text: the first claims the rest; keys travel, not texts."""
