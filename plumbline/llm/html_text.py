@@ -19,7 +19,11 @@ from plumbline.llm._common import map_text, pick, texts
 #: Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
-HIDDEN = frozenset("script style head title template noscript noembed noframes iframe object audio video canvas datalist svg math select textarea".split())
+HIDDEN = frozenset("script style head title template noscript noembed noframes iframe object audio video canvas datalist".split())
+HIDDEN_IN = {"desc": "svg", "metadata": "svg", "defs": "svg", "annotation": "math", "annotation-xml": "math"}
+APART = frozenset("option optgroup text".split())
+#: What may stand in a head; anything else closes it.
+IN_HEAD = frozenset("base basefont bgsound link meta title noscript noframes style script template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("address article aside body caption center dd details dialog div dt figcaption footer form header hgroup html legend li main menu nav section summary tbody td tfoot th thead tr".split())
 #: A start tag closes these open elements, up to the given borders.
@@ -101,12 +105,17 @@ def events(text: str):
                 found = i
         return found
 
+    begun = False  # a head can come no more
     for kind, name, attributes in tokens(text):
+        if stack[-1:] == ["head"] and (_SPACE.sub("", name) if kind == "text" else kind == "start" and name not in IN_HEAD and name not in ("html", "head")):
+            yield from close(len(stack) - 1)
         if kind == "text":
+            begun = begun or bool(_SPACE.sub("", name))
             yield kind, name, None
         elif kind == "start":
-            if name in ("html", "body") and count.get(name):
+            if name in ("html", "body") and count.get(name) or name == "head" and begun:
                 continue
+            begun = begun or name != "html"
             if name in _CLOSES and (i := find(*_CLOSES[name])) >= 0:
                 yield from close(i)
             if name in BLOCK and count.get("p") and (i := find(frozenset(["p"]), _SCOPE)) >= 0:
@@ -249,7 +258,7 @@ def render(text: str) -> str:
                 flow.pre(data) if pre else flow.text(data)
             continue
         if kind == "start":
-            unseen = name in HIDDEN or "hidden" in attributes or (name == "dialog" and "open" not in attributes) or ("style" in attributes and bool(_UNSEEN.search(attributes["style"])))
+            unseen = name in HIDDEN or (name in HIDDEN_IN and any(x[0] == HIDDEN_IN[name] for x in opened)) or "hidden" in attributes or (name == "dialog" and "open" not in attributes) or ("style" in attributes and bool(_UNSEEN.search(attributes["style"])))
             inside = bool(opened) and opened[-1] == ("details", True) and name != "summary"
             opened.append((name, name == "details" and "open" not in attributes))
             if hidden or unseen or inside:
@@ -282,6 +291,8 @@ def render(text: str) -> str:
                 if name in ("dd", "blockquote"):
                     flow.indent.append("  ")
                 pre += name == "pre"
+            elif name in APART:
+                flow.text(" ")
             elif name == "img" and attributes.get("alt"):
                 flow.text(html.unescape(attributes["alt"]))
             continue
@@ -311,6 +322,8 @@ def render(text: str) -> str:
             if name in ("dd", "blockquote") and flow.indent:
                 flow.indent.pop()
             pre -= name == "pre"
+        elif name in APART:
+            flow.text(" ")
     return "\n".join(flows[0].done())
 
 

@@ -55,6 +55,11 @@ def test_language(docs, odd, empty):
         ("<div>a</div></p>b &amp; c<br>d", "a\nb & c\nd"),
         ("<pre>x\n  y</pre>", "x\n  y"),
         ("<div " * 2000, ""),
+        ("<head><title>t</title><p>text", "text"),
+        ("<html><head><meta charset=x>\n<style>s</style> words<head><b> more</b>", "words more"),
+        ("<head><template><p>x</p></template><script>y</script></head>z", "z"),
+        ("a <textarea>b &amp; c</textarea> <svg><title>t</title><defs>u</defs><text>d</text><text>e</text></svg>", "a b & c d e"),
+        ("<math><mi>x</mi><mo>=</mo><mn>2</mn></math> <select><option>one<option>two</select>", "x=2 one two"),
         ("", ""),
     ],
 )
