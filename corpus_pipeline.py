@@ -16,30 +16,44 @@ from plumbline.llm._common import Scratch, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a hash of each row: ids may be null or repeat, so verdicts go by row; only equal rows share one."""
+    parts = [c for name in ("doc_id", "text", "lang", "source") for c in (F.col(name), F.col(name).isNull())]
+    return docs.withColumn("_key", F.xxhash64(*parts))
+
+
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows whose doc_id is not rejected; the few rejected ids travel, where Spark finds them small enough."""
-    ids = rejected.select(F.col("doc_id").alias("_rejected")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_rejected")), "left_anti").select(*COLUMNS)
+    """The keyed rows that are not rejected; the few rejected keys travel, where Spark finds them small enough."""
+    keys = rejected.select(F.col("_key").alias("_rejected")).distinct()
+    return docs.join(keys, F.col("_key") == F.col("_rejected"), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found."""
-    judged = langid.identify(docs, langid.fit(docs), "doc_id", F.col("text"), F.col("lang"), F.col("source"))
-    return _without(docs, judged.where(~F.col("kept")))
+    model, docs = langid.fit(docs), _keyed(docs)
+    judged = langid.identify(docs, model, "_key", F.col("text"), F.col("lang"), F.col("source"))
+    return _without(docs, judged.where(~F.col("kept"))).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither a base rule nor a certified cutoff rejects."""
-    judged = quality.quality_verdicts(spark, docs, table(spark, sf_dir, "labels"))
-    return _without(docs, judged.where(~F.col("kept")))
+    """Documents that neither a base rule nor a certified cutoff rejects; labels hold for all rows of their id."""
+    docs = _keyed(docs)
+    keys = docs.select(F.col("doc_id").cast("long").alias("_id"), "_key").distinct()
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("long").alias("_id"), "quality")
+    labels = labels.join(keys, "_id").select(F.col("_key").alias("doc_id"), "quality")
+    judged = quality.quality_verdicts(spark, docs.select(F.col("_key").alias("doc_id"), "text", "lang"), labels)
+    return _without(docs, judged.where(~F.col("kept")).withColumnRenamed("doc_id", "_key")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id."""
-    groups = jaccard_join.jaccard_components(docs)
-    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    out = _without(docs, groups.where("doc_id <> component_id"))
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """One document of each group of near duplicates: that of the smallest doc_id. Equal rows are one."""
+    docs = _keyed(docs)
+    groups = jaccard_join.jaccard_components(docs, "_key").select(F.col("doc_id").alias("_key"), "component_id")
+    groups = groups.join(docs.select("_key", "doc_id"), "_key").distinct()
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"].alias("_first"))
+    out = _without(docs, groups.join(first, "component_id").where("_key <> _first"))
+    repeated = not docs.groupBy("_key").count().where("count > 1").isEmpty()
+    return (out.dropDuplicates(["_key"]) if repeated else out).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

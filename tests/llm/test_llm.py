@@ -290,3 +290,17 @@ def test_pipeline(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, DATA)
     assert {r.doc_id for r in pieces.collect()} == {i for i, _ in rest}
     assert pa.__version__
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select(*cp.COLUMNS).limit(80).collect()
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    odd = [(None if k % 2 else 7, *r[1:]) for k, r in enumerate(rows)]
+    empty = [(i, "", "en", "s", 0) for i in (None, 7)]
+    texts = lambda df: sorted(r.text for r in df.select("text").collect())
+    assert texts(cp.language(spark, frame(odd + empty), DATA)) == texts(cp.language(spark, frame(rows), DATA))
+    assert len(texts(cp.quality_rules(spark, frame(odd + empty), DATA))) > 40
+    groups = {root for _, root in brute_components([(r.doc_id, r.text) for r in rows]).values()}
+    assert len(texts(cp.near_duplicates(spark, frame(odd + odd), DATA))) == len(groups)
