@@ -5,6 +5,9 @@ Unreadable text gives null, never a guess.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,21 +118,52 @@ def readings(text: Column) -> Column:
     return F.filter(F.array_distinct(F.array(read(plain), read(repaired_coordinate(text)))), lambda x: x["value"].isNotNull())
 
 
+#: Phrases (lower case, single spaces) that say a number near them is no length.
+GUARD_PHRASES = {
+    "station": ("sta",),
+    "area": ("ac", "acre", "acres", "sq ft", "sqft"),
+    "notes": ("datum", "epoch"),
+    "detail": ("detail",),
+    "scale": ("not to scale", "nts"),
+}
+
+
+def _spaced_words(text: Column) -> Column:
+    """Lower-case words apart by single spaces, one at each end; the points of initials go, other marks but + and ± part words."""
+    initials = F.regexp_replace(F.lower(text), r"\b([a-z])\.", "$1")
+    return F.concat(F.lit(" "), F.regexp_replace(initials, "[^a-z0-9+±]+", " "), F.lit(" "))
+
+
 def context_guard(text: Column) -> Column:
-    """Why a number in a text is no length: station, area, notes, detail or scale; null if nothing speaks against it."""
-    tests = {"station": r"\d\+\d|\bsta\b", "area": r"sq\.?\s?ft|\bacres?\b|\bac\.|±", "notes": r"\b(epoch|datum)\b", "detail": r"\bdetail\b", "scale": r"\b(n\.?t\.?s\b|not\s+to\s+scale\b)"}
-    out = F.lit(None).cast("string")
-    for kind, pattern in reversed(tests.items()):
-        out = F.when(text.rlike("(?i)" + pattern), F.lit(kind)).otherwise(out)
-    return out
+    """Why a number in a text is no length: the first kind of GUARD_PHRASES with a phrase in the text; null if nothing speaks against it.
+
+    A plus sign between digits is a station, a plus-minus sign an area.
+    """
+    words = _spaced_words(text)
+    marks = {"station": text.rlike("[0-9][+][0-9]"), "area": text.contains("±")}
+    kinds = [F.when(reduce(or_, [words.contains(f" {p} ") for p in phrases], marks.get(kind, F.lit(False))), F.lit(kind)) for kind, phrases in GUARD_PHRASES.items()]
+    return F.coalesce(*kinds)
 
 
 def survey_notation(text: Column) -> Column:
-    """One way to write a bearing, an angle or a distance whose marks were misread; other texts lose spaces and bars only."""
-    t = F.upper(F.regexp_replace(canonical_quotes(text), r"[\s|\[\]]", ""))
-    t = F.regexp_replace(F.regexp_replace(F.translate(t, "º˚", "°°"), "''", '"'), r"^\$(?=\d)", "S")
-    mark, end = r"[°*.O'\"]?", r"[\"'*]"
-    bearing = rf"^([NS])0*(\d{{1,2}}?){mark}(\d{{2}})['*°]?(\d{{2}}){end}*([EW])((?:\(.\))?)$"
-    angle = rf"^0*(\d{{1,3}}?){mark}(\d{{2}})['*°]?(\d{{2}}){end}+((?:\(.\))?)$"
-    distance = r"^([\d,]*\d\.\d{2})'?((?:\(.\))?)$"
-    return F.when(t.rlike(bearing), F.regexp_replace(t, bearing, "$1$2°$3'$4\"$5$6")).when(t.rlike(angle), F.regexp_replace(t, angle, "$1°$2'$3\"$4")).when(t.rlike(distance), F.regexp_replace(t, distance, "$1$2")).otherwise(t)
+    """One way to write a bearing, an angle or a distance whose marks were misread; other texts lose spaces and bars only.
+
+    Figures are read from the right, whatever stands between them: the last two are seconds, two before them minutes,
+    the rest degrees. Compass letters at both ends make a bearing; an angle ends in a mark and has no decimal point, so
+    that a length never turns into one; values out of range are left alone. A remark such as (T) stays at the end.
+    """
+    plain = F.upper(F.regexp_replace(canonical_quotes(text), r"[\s|\[\]]", ""))
+    remark = F.regexp_extract(plain, r"\([^()]*\)$", 0)
+    core = F.substring(plain, F.lit(1), F.length(plain) - F.length(remark))
+    figures = F.ltrim(digits(core), F.lit("0"))
+    size = F.length(digits(core))
+    second, minute = F.right(digits(core), F.lit(2)), F.substring(digits(core), size - 3, F.lit(2))
+    degree = F.coalesce(F.substring(digits(core), F.lit(1), size - 4).try_cast("int"), F.lit(0))
+    ranged = (minute < "60") & (second < "60")
+    read = F.concat(degree.cast("string"), F.lit("°"), minute, F.lit("'"), second, F.lit('"'))
+    body = F.translate(core, "O", "°")  # a round degree mark
+    from_, to = F.regexp_replace(F.left(core, F.lit(1)), r"\$", "S"), F.right(core, F.lit(1))
+    bearing = body.rlike("^[NS$][^A-Z]+[EW]$") & size.between(5, 6) & ranged & (degree <= 90)
+    angle = body.rlike("^[0-9][^A-Z.,]*[\"'*]$") & size.between(5, 7) & ranged & (degree < 360) & (figures != "")
+    length = core.rlike(r"^[0-9][0-9,]*\.[0-9]{2,3}'?$")
+    return F.when(bearing, F.concat(from_, read, to, remark)).when(angle, F.concat(read, remark)).when(length, F.concat(F.rtrim(core, F.lit("'")), remark)).otherwise(plain)

@@ -93,9 +93,14 @@ def mirror_dedupe(df: DataFrame, same: list[str], ends: tuple[str, str], order:
     return rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n")).select(*same, F.col("_lo").alias("low_end"), F.col("_hi").alias("high_end"), *[F.col(f"first.{c}").alias(c) for c in order], "n")
 
 
+#: The least equations, features and observations of an axis of a credible solution.
+CREDIBLE = {"equations": 8, "features": 4, "axis": 2}
+
+
 def credible(equations: Column, features: Column, axis_a: Column, axis_b: Column) -> Column:
-    """'solved' with 8 equations of 4 features and 2 on each axis, else 'weak'; 'none' without any."""
-    return F.when(F.coalesce(equations, F.lit(0)) == 0, "none").when((equations >= 8) & (features >= 4) & (F.least(axis_a, axis_b) >= 2), "solved").otherwise("weak")
+    """'solved' with enough equations, features and observations on each axis (CREDIBLE), else 'weak'; 'none' without any."""
+    enough = (equations >= CREDIBLE["equations"]) & (features >= CREDIBLE["features"]) & (F.least(axis_a, axis_b) >= CREDIBLE["axis"])
+    return F.when(F.coalesce(equations, F.lit(0)) == 0, "none").when(enough, "solved").otherwise("weak")
 
 
 def claim_in_order(pairs: DataFrame, left: str, right: str, distance: str) -> DataFrame:

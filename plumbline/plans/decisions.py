@@ -200,7 +200,9 @@ def coordinate_readings(t):
     return t("events").select("event_id", parsing.repaired_coordinate(text).alias("repaired"), F.size(parsing.readings(text)).alias("readings"))
 
 
-@query(r"""SELECT role, CASE WHEN regexp_matches(text, '(?i)\d\+\d|\bsta\b') THEN 'station' WHEN regexp_matches(text, '(?i)sq\.?\s?ft|\bacres?\b|\bac\.|±') THEN 'area' WHEN regexp_matches(text, '(?i)\b(epoch|datum)\b') THEN 'notes' WHEN regexp_matches(text, '(?i)\bdetail\b') THEN 'detail' WHEN regexp_matches(text, '(?i)\b(n\.?t\.?s\b|not\s+to\s+scale\b)') THEN 'scale' ELSE 'none' END AS guard, count(*) AS n FROM conversations GROUP BY 1, 2""")
+@query(r"""WITH w AS (SELECT role, text, ' ' || regexp_replace(regexp_replace(lower(text), '\b([a-z])\.', '\1', 'g'), '[^a-z0-9+±]+', ' ', 'g') || ' ' AS w FROM conversations)
+  SELECT role, CASE WHEN regexp_matches(text, '[0-9][+][0-9]') OR contains(w, ' sta ') THEN 'station' WHEN contains(text, '±') OR contains(w, ' ac ') OR contains(w, ' acre ') OR contains(w, ' acres ') OR contains(w, ' sq ft ') OR contains(w, ' sqft ') THEN 'area'
+    WHEN contains(w, ' datum ') OR contains(w, ' epoch ') THEN 'notes' WHEN contains(w, ' detail ') THEN 'detail' WHEN contains(w, ' not to scale ') OR contains(w, ' nts ') THEN 'scale' ELSE 'none' END AS guard, count(*) AS n FROM w GROUP BY 1, 2""")
 def context_guards(t):
     return t("conversations").groupBy("role", F.coalesce(parsing.context_guard(F.col("text")), F.lit("none")).alias("guard")).agg(F.count("*").alias("n"))
 

@@ -9,11 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import checkpointer
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a data folder; NaN in doubles becomes null, as unknown values never match."""
-    df = spark.read.parquet(f"{folder}/{name}.parquet")
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c, t in df.dtypes if t in ("double", "float") and c.endswith("_nan")})
+    """A Parquet table of a data folder; filters and columns reach the scan."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def without_nan(df: DataFrame, *columns: str) -> DataFrame:
+    """NaN becomes null, as unknown values never match: in the named columns, or in all of floating type."""
+    names = columns or tuple(c for c, t in df.dtypes if t in ("double", "float"))
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(f"`{c}`")) for c in names})
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -63,16 +70,29 @@ def write_features(df: DataFrame, geometry: Column, properties: list[str], path:
 
 
 def patch_flag(target: DataFrame, flags: DataFrame, key: str, column: str) -> DataFrame:
-    """Set one boolean column by key; refuses if the sides differ in their number of rows."""
-    n, m = target.count(), flags.count()
-    if n != m:
-        raise ValueError(f"{m} flags for {n} rows")
-    return target.drop(column).join(flags.select(key, column), key, "left")
+    """Set one boolean column by key; refuses unless both sides have the same keys, each once."""
+    sides = target.select(F.col(key).alias("k"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(flags.select(F.col(key).alias("k"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    odd = sides.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a <> 1 or b <> 1 or k is null")
+    if not odd.isEmpty():
+        raise ValueError("flags and rows differ in their keys")
+    return target.drop(column).join(flags.select(key, column), key)
 
 
 def stride_sample(df: DataFrame, order: list[str], n: int) -> DataFrame:
-    """n rows at even steps of an order (a feature of reports: few rows by design)."""
-    w = W.orderBy(*order)
-    total = df.count()
-    step = max(1, total // max(1, n))
-    return df.withColumn("_r", F.row_number().over(w) - 1).where((F.col("_r") % step == 0) & (F.col("_r") < step * n)).drop("_r")
+    """n rows at even steps of an order that no two rows share (a feature of reports: few rows by design).
+
+    Ranges of the order are numbered each for itself; their row counts (a few numbers) give where each begins.
+    """
+    cut = checkpointer(df.sparkSession)
+    sorted_ = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_p")))
+    sizes = sorted(tuple(r) for r in sorted_.groupBy("_p").count().collect())
+    step = max(1, sum(c for _, c in sizes) // max(1, n))
+    begins, at = {}, 0
+    for p, c in sizes:
+        begins[p] = at
+        at += c
+    if not begins:
+        return df.limit(0)
+    first = F.element_at(F.create_map(*[x for p, b in begins.items() for x in (F.lit(p), F.lit(b))]), F.col("_p"))
+    row = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1 + first
+    return sorted_.withColumn("_r", row).where((F.col("_r") % step == 0) & (F.col("_r") < step * n)).drop("_r", "_p")
