@@ -138,18 +138,9 @@ def consensus_fit(t):
 
 @query("""SELECT vec_id, nearest, label_found, round(d, 5) AS d_nearest, round(d2, 5) AS d_other FROM (SELECT vec_id, e AS nearest, l AS label_found, d, lead(d) OVER (PARTITION BY vec_id ORDER BY d, e) AS d2, row_number() OVER (PARTITION BY vec_id ORDER BY d, e) AS r FROM
   (SELECT q.vec_id, x.label AS l, min(list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS d, arg_min(x.vec_id, list_sum(list_transform(list_zip(q.embedding, x.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS e
-   FROM embeddings q JOIN (SELECT * FROM embeddings WHERE vec_id < 200) x ON q.vec_id <> x.vec_id GROUP BY 1, 2)) WHERE r = 1""")
+   FROM embeddings q JOIN embeddings x ON q.vec_id <> x.vec_id GROUP BY 1, 2)) WHERE r = 1""")
 def knn_embeddings(t):
-    """Every vector against an alphabet of 200 exemplars (the reference set of this operator)."""
-    e = t("embeddings")
-    alphabet = F.broadcast(e.where("vec_id < 200").select(F.col("vec_id").alias("eid"), F.col("embedding").alias("evec"), "label"))  # 200 rows
-    out = fits.nearest_exemplar(e, alphabet, "vec_id", "embedding", "eid", "evec", "label")
-    return out.select("vec_id", "nearest", "label_found", F.round("d_nearest", 5).alias("d_nearest"), F.round("d_other", 5).alias("d_other"))
-
-
-@query()
-def knn_all_embeddings(t):
-    """Every vector against all others: no twin, as all pairs are too slow there at larger tables."""
+    """Every vector against all others."""
     e = t("embeddings")
     others = e.select(F.col("vec_id").alias("eid"), F.col("embedding").alias("evec"), "label")
     out = fits.nearest_exemplar(e, others, "vec_id", "embedding", "eid", "evec", "label")

@@ -21,11 +21,11 @@ def components(t):
     return graph.components(_edges(t), "a", "b")
 
 
-_CELLS = "SELECT DISTINCT p_size AS ix, CAST(floor(p_retailprice / 50) AS BIGINT) AS iy FROM part WHERE p_partkey % 3 = 0"
+_CELLS = "SELECT DISTINCT p_size AS ix, CAST(floor(p_retailprice / 50) AS BIGINT) AS iy FROM part"
 
 
 def _cells(t):
-    return t("part").where("p_partkey % 3 = 0").selectExpr("p_size ix", "floor(p_retailprice / 50) iy").distinct()
+    return t("part").selectExpr("p_size ix", "floor(p_retailprice / 50) iy").distinct()
 
 
 @query(f"""WITH RECURSIVE c AS ({_CELLS}), k AS (SELECT ix, iy, ix * 2147483648 + iy AS id FROM c), r(id, ix, iy, seen) AS (SELECT id, ix, iy, id FROM k UNION SELECT k.id, k.ix, k.iy, r.seen FROM r JOIN k ON abs(k.ix - r.ix) <= 1 AND abs(k.iy - r.iy) <= 1) SELECT ix, iy, min(seen) AS region FROM r GROUP BY 1, 2""")
@@ -39,22 +39,6 @@ def dilate_erode(t):
     return graph.erode(graph.dilate(_cells(t)))
 
 
-def _all_cells(t):
-    return t("part").selectExpr("p_size ix", "floor(p_retailprice / 50) iy").distinct()
-
-
-@query()
-def raster_label_all(t):
-    """Regions of the cells of all parts; the recursive twin is too slow there."""
-    return graph.label_cells(_all_cells(t))
-
-
-@query()
-def dilate_erode_all(t):
-    """Morphological closing of the cells of all parts."""
-    return graph.erode(graph.dilate(_all_cells(t)))
-
-
 @query("""WITH RECURSIVE d AS (SELECT doc_id, lang, md5(text) AS k FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, k) AS keeper FROM d""")
 def twin_dedupe(t):
     """Twins by equal text: the first claims the rest; keys travel, not texts."""
