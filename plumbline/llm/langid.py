@@ -26,6 +26,10 @@ SUFFIX_LANGUAGES = {
     "ar": "es", "cl": "es", "co": "es", "es": "es", "mx": "es", "pe": "es", "uy": "es",
     "au": "en", "ca": "en", "ie": "en", "nz": "en", "uk": "en", "us": "en",
 }
+#: Trigrams whose likelihoods are looked up at once.
+LOOKED_UP = 1 << 17
+#: A host with more than this share of all rows is hot; there are fewer such hosts than its inverse.
+HOT_SHARE = 1 / 1000
 _NO_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -59,6 +63,13 @@ class TrigramModel:
         best = means.max(axis=1)[n > 0] if len(rows) and languages else np.zeros(0)
         self.floor = float(best.min() - margin) if len(best) else 0.0
 
+    @classmethod
+    def of(cls, languages: list[str], log: np.ndarray) -> TrigramModel:
+        """A model of known likelihoods, to score with."""
+        self = cls.__new__(cls)
+        self.languages, self.log = languages, log
+        return self
+
     def score(self, rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood by row and language, and trigrams by row."""
         h, n = trigrams(rows)
@@ -66,13 +77,23 @@ class TrigramModel:
         if len(h):
             full = np.flatnonzero(n)
             first = np.r_[0, np.cumsum(n[full])[:-1]]
-            out[full] = np.add.reduceat(self.log[h], first, axis=0, dtype=np.float64) / n[full, None]
+            for at in range(0, len(h), LOOKED_UP):  # long texts in parts of bounded memory
+                part = h[at : at + LOOKED_UP]
+                lo, hi = np.searchsorted(first, at, "right") - 1, np.searchsorted(first, at + len(part), "left")
+                out[full[lo:hi]] += np.add.reduceat(self.log[part], np.maximum(first[lo:hi] - at, 0), axis=0, dtype=np.float64)
+            out[full] /= n[full, None]
         return out, n
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = 300, most_languages: int = 64, chars: int = 4000) -> TrigramModel:
     """Fit on a bounded sample: ``per_language`` labelled rows (in the order of a hash of text)
-    of the ``most_languages`` commonest languages, ``chars`` characters of each."""
+    of the ``most_languages`` commonest languages, ``chars`` characters of each.
+
+    Languages beyond these are never answered: their texts are 'und' or get the
+    nearest known language. Null texts and null or empty languages are left out;
+    repeated texts count once; other columns are ignored; an empty table gives a
+    model without languages.
+    """
     rows = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").cast("string").alias("l")).where("t is not null and l is not null and l <> ''").withColumn("h", F.xxhash64("t"))
     scratch = Scratch(labelled.sparkSession)
     hashes = scratch.write(rows.groupBy("l", "h").count(), "hashes")
@@ -124,10 +145,11 @@ def identify(
         F.coalesce(host if host is not None else none, F.lit("")).alias("host"),
         F.coalesce(suffix if suffix is not None else none, F.lit("")).alias("suffix"),
     )
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats, at most 64
+    # Plain arrays, as classes in a broadcast would have to be installed there: BUCKETS x languages floats, at most 64.
+    shared = spark.sparkContext.broadcast((languages, model.log))
 
     def make():
-        m = shared.value
+        m = TrigramModel.of(*shared.value)
 
         def work(part):
             rows = texts(part)
@@ -142,18 +164,20 @@ def identify(
     names = F.array(*[F.lit(x) for x in languages])
     best = F.element_at(names, F.array_position("means", F.array_max("means")).cast("int"))
     text_language = F.when((F.col("n_trigrams") > 0) & (F.array_max("means") >= model.floor), best).otherwise(UNKNOWN)
-    scores = Scratch(spark).write(scores.withColumn("text_language", text_language), "scores")
+    scratch = Scratch(spark)
+    scores = scratch.write(scores.withColumn("text_language", text_language), "scores")
 
     # Text-only decisions by host, by suffix and over all: one pass, a row for each host.
     each = [F.count(F.when(F.col("text_language") == x, 1)).alias(f"n{k}") for k, x in enumerate(languages)]
-    hosts = scores.groupBy("suffix", "host").agg(*each)
+    hosts = scratch.write(scores.groupBy("suffix", "host").agg(F.count("*").alias("rows"), *each), "hosts")
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"s{k}") for k in range(len(languages))])
     totals = [int(v or 0) for v in suffixes.agg(*[F.sum(f"s{k}") for k in range(len(languages))]).first()]
+    rows = int(hosts.agg(F.sum("rows")).first()[0] or 0)
     share = [(v + 1) / (sum(totals) + len(languages)) for v in totals]
     up = sum((F.col(f"s{k}") for k in range(len(languages))), F.lit(0))
     own = sum((F.col(f"n{k}") for k in range(len(languages))), F.lit(0))
     by_suffix = [(F.col(f"s{k}") + strength * share[k]) / (up + strength) for k in range(len(languages))]
-    priors = hosts.join(suffixes, "suffix").select("suffix", "host", F.array(*[F.log((F.col(f"n{k}") + strength * by_suffix[k]) / (own + strength)) for k in range(len(languages))]).alias("prior"))
+    priors = hosts.join(suffixes, "suffix").select("suffix", "host", (F.col("rows") > rows * HOT_SHARE).alias("hot"), F.array(*[F.log((F.col(f"n{k}") + strength * by_suffix[k]) / (own + strength)) for k in range(len(languages))]).alias("prior"))
 
     # One number for each language; the last is that of no language at all.
     weight = F.least(F.col("n_trigrams"), F.lit(evidence))
@@ -166,7 +190,12 @@ def identify(
         hint = F.when(~F.col("suffix").isin(known), 0.0).when(F.col("suffix").isin(near), float(np.log(suffix_trust))).otherwise(float(np.log((1 - suffix_trust) / max(1, len(languages) - 1) or 1e-9)))
         posts.append(F.col("means")[k] * weight + F.col("prior")[k] + said + hint)
     posts.append(F.lit(model.floor) * weight + float(np.log(0.001)))
-    out = scores.join(priors, ["suffix", "host"]).withColumn("post", F.array(*posts))
+    # Priors of hot hosts, fewer than 1 / HOT_SHARE, go to the rows; only rows of other hosts meet theirs by shuffle.
+    priors = scratch.write(priors, "priors")
+    hot, cold = (priors.where(F.col("hot") == x).drop("hot") for x in (True, False))
+    near = scores.join(F.broadcast(hot), ["suffix", "host"], "left")
+    mixed = near.where("prior is not null").unionByName(near.where("prior is null").drop("prior").join(cold, ["suffix", "host"]))
+    out = mixed.withColumn("post", F.array(*posts))
     out = out.withColumn("top", F.array_max("post"))
     total = F.aggregate("post", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
     names = F.array(*[F.lit(x) for x in [*languages, UNKNOWN]])
