@@ -56,8 +56,8 @@ def first_claim(rows: DataFrame, key: str, claims: DataFrame) -> DataFrame:
     return (done if done is not None else rest.select("r", F.col("r").alias("keeper"))).select(F.col("r").alias(key), "keeper")
 
 
-def inherit_unique(nodes: DataFrame, key: str, value: str, edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """Fixpoint: a row without a value takes that of its neighbours iff all that have one agree.
+def inherit_unique(nodes: DataFrame, key: str, value: str, edges: DataFrame) -> DataFrame:
+    """Fixpoint: a row without a value takes that of its neighbours iff all that have one agree; ends when none takes any.
 
     Rounds are synchronous; own values are never overridden and a row that
     inherits keeps what it got.
@@ -65,13 +65,12 @@ def inherit_unique(nodes: DataFrame, key: str, value: str, edges: DataFrame, rou
     cut = checkpointer(nodes.sparkSession)
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     now = cut(nodes.select(F.col(key).alias("a"), F.col(value).alias("v")))
-    for _ in range(rounds):
+    while True:
         seen = both.join(now.where("v is not null").select(F.col("a").alias("b"), "v"), "b").groupBy("a").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
         new = cut(now.where("v is null").join(seen.where("lo = hi"), "a").select("a", F.col("lo").alias("w")))
         if new.isEmpty():
-            break
+            return now.select(F.col("a").alias(key), F.col("v").alias(value))
         now = cut(now.join(new, "a", "left").select("a", F.coalesce("v", "w").alias("v")))
-    return now.select(F.col("a").alias(key), F.col("v").alias(value))
 
 
 def bounded_paths(edges: DataFrame, starts: DataFrame, goals: DataFrame, depth: int) -> DataFrame:
