@@ -56,10 +56,11 @@ def encode_pgm(img: np.ndarray) -> bytes:
 
 
 def picture_of(vector: list[float] | None, side: int = 8, cell: int = 8) -> bytes | None:
-    """A square grey picture of a vector, for tables without images: one cell a number, smoothed."""
-    v = np.array([0.0 if x is None else x for x in vector or []], dtype=np.float64)[: side * side]
+    """A square grey picture of a vector, for tables without images: one cell a number, smoothed; longer vectors make larger ones."""
+    v = np.array([0.0 if x is None else x for x in vector or []], dtype=np.float64)
     if not len(v):
         return None
+    side = max(side, int(np.ceil(np.sqrt(len(v)))))
     v = np.nan_to_num(np.r_[v, np.zeros(side * side - len(v))])
     span = v.max() - v.min()
     grid = ((v - v.min()) / span if span else v * 0).reshape(side, side) * 255

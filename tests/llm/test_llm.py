@@ -204,6 +204,12 @@ def test_bands_meet_within_the_radius():
     assert media.RADIUS == 15 and {(k, k) for k in range(300)} <= set(zip(i.tolist(), j.tolist(), strict=True))
 
 
+def test_pictures_show_every_number():
+    long = list(range(100))
+    assert media.picture_of(long) != media.picture_of([*long[:-1], 5]) and media.decode_image(media.picture_of(long)).shape == (80, 80)
+    assert media.picture_of([]) is None and media.picture_of(None) is None
+
+
 def test_noisy_copies_and_small_crops(spark):
     rng = np.random.RandomState(2)
     vectors = [rng.normal(size=64).tolist() for _ in range(6)]
