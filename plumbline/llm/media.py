@@ -28,7 +28,8 @@ BANDS = 8  # of 32 bits
 RADIUS = 2 * BANDS - 1  # bits in which matching descriptors differ at most
 SEEN = 200_000  # distinct images whose copies a task recognises at once
 BLOCK = 40_000  # query descriptors that are sought at once
-CANDIDATES = 1 << 20  # pairs that a task holds at once
+CANDIDATES = 1 << 17  # pairs that a task holds at once: they stay in a core's cache
+PROBED = 20_000  # pairs of query descriptors that tell which bits to hold apart
 REACH = 10  # pixels of a patch around its corner
 _PATTERN = np.clip(np.random.RandomState(7).normal(0, REACH / 2.5, (256, 2, 2)), -REACH, REACH)
 _DISC = np.array([(x, y) for x in range(-8, 9) for y in range(-8, 9) if x * x + y * y <= 64])
@@ -130,11 +131,41 @@ def band_keys(bits: np.ndarray, probes: bool = False) -> np.ndarray:
     return value[:, :, None] ^ _TURNED if probes else value
 
 
+def bit_order(bits: np.ndarray) -> np.ndarray:
+    """An order of the 256 bits in which few descriptors share a band; whatever it is, the tables find the same pairs.
+
+    Bits go, the most even first, to the band in which they part most of a fixed number of pairs that still agree.
+    """
+    if len(bits) < 2:
+        return np.arange(256)
+    i, j = np.random.RandomState(7).randint(0, len(bits), (2, PROBED))
+    differ = np.unpackbits(bits[i] ^ bits[j], axis=1).T.astype(np.float32)
+    room, agree = np.full(BANDS, 256 // BANDS), np.ones((BANDS, PROBED), dtype=np.float32)
+    bands: list[list[int]] = [[] for _ in range(BANDS)]
+    for bit in np.argsort(-differ.sum(axis=1), kind="stable").tolist():
+        k = int(np.argmax(np.where(room > 0, agree @ differ[bit], -1)))
+        bands[k].append(bit)
+        room[k] -= 1
+        agree[k] *= 1 - differ[bit] / 2
+    return np.concatenate(bands).astype(np.int64)
+
+
+def _ordered(bits: np.ndarray, order: np.ndarray) -> np.ndarray:
+    return np.packbits(np.unpackbits(bits, axis=1)[:, order], axis=1)
+
+
+def _columns(bits: np.ndarray) -> list[np.ndarray]:
+    """The four 64-bit words of all descriptors, each word for itself."""
+    return list(np.ascontiguousarray(np.ascontiguousarray(bits).view(np.uint64).T))
+
+
 class HammingTables:
     """Sorted probes of query descriptors."""
 
     def __init__(self, bits: np.ndarray):
-        self.words = np.ascontiguousarray(bits).view(np.uint64)
+        self.size, self.order = len(bits), bit_order(bits)
+        bits = _ordered(bits, self.order)
+        self.columns = _columns(bits)
         probes = band_keys(bits, probes=True)
         self.tables = []
         for k in range(BANDS):
@@ -144,35 +175,71 @@ class HammingTables:
 
     def within(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (row of bits, query descriptor) that differ in RADIUS bits at most, each once."""
-        words, values, found = np.ascontiguousarray(bits).view(np.uint64), band_keys(bits), []
+        bits = _ordered(bits, self.order)
+        rows, values, found = _columns(bits), band_keys(bits), []
         for k, (keys, owner) in enumerate(self.tables):
-            low = np.searchsorted(keys, values[:, k], side="left")
-            n = np.searchsorted(keys, values[:, k], side="right") - low
+            by = np.argsort(values[:, k])  # sought in order, neighbours share a cache line
+            low, n = np.empty((2, len(by)), dtype=np.int64)
+            low[by] = np.searchsorted(keys, values[by, k], side="left")
+            n[by] = np.searchsorted(keys, values[by, k], side="right")
+            n -= low
             total = np.cumsum(n)
             at = 0
             while at < len(n):
                 base = total[at - 1] if at else 0
                 stop = max(at + 1, int(np.searchsorted(total, base + CANDIDATES, side="right")))
-                i = np.repeat(np.arange(at, stop), n[at:stop])
-                j = owner[np.arange(len(i)) - np.repeat(total[at:stop] - n[at:stop] - base, n[at:stop]) + low[i]]
-                near = np.bitwise_count(words[i] ^ self.words[j]).sum(axis=1) <= RADIUS
-                found.append(i[near] * len(self.words) + j[near])
+                i = np.repeat(np.arange(at, stop, dtype=np.int32), n[at:stop])
+                j = owner[np.arange(len(i), dtype=np.int32) + np.repeat((low + base + n - total)[at:stop].astype(np.int32), n[at:stop])]
+                far = np.zeros(len(i), dtype=np.uint8)
+                for pair in ((2, 1), (3, 0)):  # the band's own word last: it tells least
+                    for turn in pair:
+                        w = (k // 2 + turn) % 4
+                        far += np.bitwise_count(rows[w].take(i) ^ self.columns[w].take(j))
+                    near = np.flatnonzero(far <= RADIUS)
+                    i, j, far = i.take(near), j.take(near), far.take(near)
+                found.append(i.astype(np.int64) * self.size + j)
                 at = stop
         pairs = np.unique(np.concatenate(found))
-        return np.divmod(pairs, max(1, len(self.words)))
+        return np.divmod(pairs, max(1, self.size))
+
 
+def _masks(rows: np.ndarray) -> list[int]:
+    """The set columns of each row as bits of one number."""
+    return [int.from_bytes(x.tobytes(), "little") for x in np.packbits(rows, axis=1, bitorder="little")]
 
-def _places(at: np.ndarray, pixels: float) -> int:
-    """How many points are farther than ``pixels`` from each one counted before: a corner seen at several scales is one."""
+
+def _near(at: np.ndarray, pixels: float) -> list[int]:
+    """For each point, which ones are within ``pixels`` of it."""
+    return _masks(np.linalg.norm(at[:, None] - at, axis=2) <= pixels)
+
+
+def _places(points: int, near: list[int]) -> int:
+    """How many of some points are near none counted before: a corner seen at several scales is one."""
     n = 0
-    while len(at):
-        at = at[np.linalg.norm(at - at[0], axis=1) > pixels]
+    while points:
+        points &= ~near[(points & -points).bit_length() - 1]
         n += 1
     return n
 
 
-def consensus(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int, pixels: float = 3.0) -> tuple[int, float, float, float, float]:
-    """Largest number of places of corners of one image that one similarity transform carries to matching corners of the other.
+def _proposals(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    """Scale, rotation, its complex factor and shift of the transform that each match of corners p -> q proposes."""
+    scale, turn = (q[..., 2] / p[..., 2]).astype(np.float64), (q[..., 3] - p[..., 3]).astype(np.float64)
+    factor = scale * np.exp(1j * turn)
+    shift = q[..., 0] + 1j * q[..., 1] - factor * (p[..., 0] + 1j * p[..., 1])
+    return [scale, turn, factor, shift.real, shift.imag]
+
+
+def _carried(p: np.ndarray, q: np.ndarray, moves: list[np.ndarray], pixels: float) -> np.ndarray:
+    """Which matches (last axis) each proposed transform carries."""
+    scale, _, factor, dx, dy = (x[..., None] for x in moves)
+    px, py, qx, qy = (x[..., None, :].astype(np.float64) for x in (p[..., 0], p[..., 1], q[..., 0], q[..., 1]))
+    x, y = factor.real * px - factor.imag * py + dx - qx, factor.imag * px + factor.real * py + dy - qy
+    return x * x + y * y <= (pixels * np.maximum(1.0, scale)) ** 2
+
+
+def consensus(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, radius: int, pixels: float = 3.0, least: int = 1) -> tuple[int, float, float, float, float]:
+    """Largest number of places of corners of one image that one similarity transform carries to matching corners of the other; 0 below ``least``.
 
     Returns it with scale, rotation (degrees) and shift of the transform.
     """
@@ -181,19 +248,34 @@ def consensus(p: np.ndarray, a: np.ndarray, q: np.ndarray, b: np.ndarray, radius
     far = np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2)
     i, j = np.nonzero(far <= radius)
     best = (0, 1.0, 0.0, 0.0, 0.0)
-    for m in range(len(i)):
-        scale = float(q[j[m], 2] / p[i[m], 2])
-        turn = float(q[j[m], 3] - p[i[m], 3])
-        rot = scale * np.array([[np.cos(turn), -np.sin(turn)], [np.sin(turn), np.cos(turn)]])
-        shift = q[j[m], :2] - rot @ p[i[m], :2]
-        off = np.linalg.norm(p[i, :2] @ rot.T + shift - q[j, :2], axis=1)
-        agree = off <= pixels * max(1.0, scale)
-        ours, theirs = set(i[agree].tolist()), set(j[agree].tolist())
-        n = min(len(ours), len(theirs))
-        if n > best[0]:
-            n = min(_places(p[sorted(ours), :2], pixels), _places(q[sorted(theirs), :2], pixels))
-        if n > best[0]:
-            best = (n, scale, float(np.degrees(turn)) % 360, float(shift[0]), float(shift[1]))
+    if not len(i):
+        return best
+    moves = _proposals(p[i], q[j])
+    scale, turn, _, dx, dy = moves
+    sides = [np.unique(x, return_inverse=True) for x in (i, j)]
+    held: list[list[int]] = [[], []]
+    count = np.zeros(len(i), dtype=np.int64)
+    for s in range(0, len(i), step := max(1, CANDIDATES // len(i))):
+        m = slice(s, s + step)
+        agree = _carried(p[i], q[j], [x[m] for x in moves], pixels)
+        rows, at = np.nonzero(agree)
+        sizes = []
+        for (names, place), masks in zip(sides, held, strict=True):
+            seen = np.zeros((len(agree), len(names)), dtype=bool)
+            seen[rows, place[at]] = True
+            sizes.append(seen.sum(axis=1))
+            masks += _masks(seen)
+        count[m] = np.minimum(*sizes)
+    if count.max() < least:
+        return best
+    close = [_near(points[names, :2], pixels) for points, (names, _) in zip((p, q), sides, strict=True)]
+    first = len(i)
+    for m in np.argsort(-count, kind="stable").tolist():  # places are never more than matches
+        if count[m] < max(least, best[0]):
+            break
+        n = min(_places(masks[m], near) for masks, near in zip(held, close, strict=True))
+        if n > best[0] or (n == best[0] and m < first):
+            first, best = m, (n, float(scale[m]), float(np.degrees(turn[m])) % 360, float(dx[m]), float(dy[m]))
     return best
 
 
@@ -283,8 +365,8 @@ def _matches(shelf: DataFrame, block: list[tuple[int, bytes, bytes]], min_corner
                 if fresh:
                     image = np.repeat(np.arange(len(fresh)), [len(x[2]) for x in fresh])
                     i, j = tables.within(np.concatenate([x[2] for x in fresh]))
-                    for c, q in likely(image[i] * len(bits) + query[j], every[j], np.concatenate([x[1] for x in fresh])[i], min_corners, len(bits)):
-                        n, *rest = consensus(points[q], bits[q], fresh[c][1], fresh[c][2], RADIUS)
+                    for c, q in likely(image[i] * len(bits) + query[j], j, i, every, np.concatenate([x[1] for x in fresh]), min_corners, len(bits)):
+                        n, *rest = consensus(points[q], bits[q], fresh[c][1], fresh[c][2], RADIUS, least=min_corners)
                         if n >= min_corners:
                             rows.append((shared.value[q][0], fresh[c][0], n, *rest))
                 columns = list(zip(*rows, strict=True)) if rows else [[] for _ in range(7)]
@@ -294,10 +376,10 @@ def _matches(shelf: DataFrame, block: list[tuple[int, bytes, bytes]], min_corner
     return shelf.mapInArrow(run, "q long, digest binary, corners int, scale double, rotation double, dx double, dy double")
 
 
-def likely(group: np.ndarray, p: np.ndarray, q: np.ndarray, least: int, width: int, pixels: float = 3.0):
-    """Groups (row, column of ``width`` columns) of matches p -> q of which one carries ``least`` matches; large ones unseen."""
-    order = np.argsort(group, kind="stable")
-    group, p, q = group[order], p[order].astype(np.float64), q[order].astype(np.float64)
+def likely(group: np.ndarray, ours: np.ndarray, theirs: np.ndarray, p: np.ndarray, q: np.ndarray, least: int, width: int, pixels: float = 3.0):
+    """Groups (row, column of ``width`` columns) of matches p[ours] -> q[theirs] of which one carries ``least`` places; large ones unseen."""
+    order = np.lexsort((theirs, ours, group))
+    group, ours, theirs = group[order], ours[order], theirs[order]
     names, first, size = np.unique(group, return_index=True, return_counts=True)
     for g in names[size > 32].tolist():
         yield divmod(g, width)
@@ -306,17 +388,27 @@ def likely(group: np.ndarray, p: np.ndarray, q: np.ndarray, least: int, width: i
         step = max(1, CANDIDATES // (k * k))
         for s in range(0, len(starts), step):
             at = starts[s : s + step, None] + np.arange(k)
-            a, b = p[at], q[at]  # groups, matches, (x, y, size, angle)
-            scale, turn = b[..., 2] / a[..., 2], b[..., 3] - a[..., 3]
-            cos, sin = (scale * np.cos(turn))[:, :, None], (scale * np.sin(turn))[:, :, None]
-            dx, dy = a[:, None, :, 0] - a[:, :, None, 0], a[:, None, :, 1] - a[:, :, None, 1]
-            x = cos * dx - sin * dy - (b[:, None, :, 0] - b[:, :, None, 0])
-            y = sin * dx + cos * dy - (b[:, None, :, 1] - b[:, :, None, 1])
-            agree = np.hypot(x, y) <= pixels * np.maximum(1.0, scale)[:, :, None] + 1e-3
-            for g in group[at[agree.sum(axis=2).max(axis=1) >= least, 0]].tolist():
+            a, b = p[ours[at]], q[theirs[at]]  # groups, matches, (x, y, size, angle)
+            agree = _carried(a, b, _proposals(a, b), pixels)
+            hit = agree.sum(axis=2).max(axis=1) >= least
+            at, a, b, agree = at[hit], a[hit], b[hit], agree[hit]
+            n = np.minimum(_all_places(agree, ours[at], a, pixels), _all_places(agree, theirs[at], b, pixels))
+            for g in group[at[n.max(axis=1, initial=0) >= least, 0]].tolist():
                 yield divmod(g, width)
 
 
+def _all_places(agree: np.ndarray, name: np.ndarray, points: np.ndarray, pixels: float) -> np.ndarray:
+    """Places of the points that each transform of each group carries, as ``_places`` counts them: in order of their names."""
+    order = np.argsort(name, axis=1, kind="stable")
+    at = np.take_along_axis(points[..., :2], order[..., None], axis=1)
+    near = np.linalg.norm(at[:, :, None] - at[:, None], axis=3) <= pixels
+    agree = np.take_along_axis(agree, order[:, None], axis=2)
+    picked = np.zeros_like(agree)
+    for t in range(agree.shape[2]):
+        picked[:, :, t] = agree[:, :, t] & ~(picked[:, :, :t] & near[:, None, :t, t]).any(axis=2)
+    return picked.sum(axis=2)
+
+
 def picture_column(df: DataFrame, vector: str) -> DataFrame:
     """The frame with a column ``picture`` (binary) drawn from an array of numbers."""
     @F.pandas_udf("binary")

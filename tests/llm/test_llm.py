@@ -210,6 +210,22 @@ def test_pictures_show_every_number():
     assert media.picture_of([]) is None and media.picture_of(None) is None
 
 
+def test_likely_pairs_are_those_of_consensus():
+    rng = np.random.RandomState(4)
+    sides = [media.describe(media.decode_image(media.picture_of(rng.normal(size=64).tolist()))) for _ in range(60)]
+    ours, theirs = sides[:30], sides[30:] + [(p + np.float32([2, 1, 0, 0]), b) for p, b in sides[:5]]
+    bits = np.concatenate([b for _, b in ours])
+    query, image = (np.repeat(np.arange(len(s)), [len(b) for _, b in s]) for s in (ours, theirs))
+    i, j = media.HammingTables(bits).within(np.concatenate([b for _, b in theirs]))
+    all_bits = np.concatenate([b for _, b in theirs])
+    far = np.stack([np.bitwise_count(bits ^ x).sum(axis=1) for x in all_bits])
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*[x.tolist() for x in np.nonzero(far <= media.RADIUS)], strict=True))
+    got = set(media.likely(image[i] * 30 + query[j], j, i, np.concatenate([p for p, _ in ours]), np.concatenate([p for p, _ in theirs]), 4, 30))
+    want = {(c, q) for c in range(35) for q in range(30) if media.consensus(*ours[q], *theirs[c], media.RADIUS)[0] >= 4}
+    assert {(30 + k, k) for k in range(5)} <= want <= got
+    assert all(media.consensus(*ours[q], *theirs[c], media.RADIUS, least=4) == media.consensus(*ours[q], *theirs[c], media.RADIUS) for c, q in want)
+
+
 def test_noisy_copies_and_small_crops(spark):
     rng = np.random.RandomState(2)
     vectors = [rng.normal(size=64).tolist() for _ in range(6)]
