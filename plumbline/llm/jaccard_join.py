@@ -39,6 +39,8 @@ SIGNATURE = 11
 #: Members of a block that one task compares with those of another chunk.
 CHUNK = 512
 FANOUT = 16
+#: Pairs of classes that a task holds before it hands them on.
+PAIRS = 50_000
 #: Distinct sets whose copies a task recognises at once.
 SEEN = 200_000
 
@@ -246,7 +248,7 @@ def _tree_pairs(blocks: DataFrame, percent: int, full: bool) -> DataFrame:
                 bits = members.field("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(n), -1) if len(n) else np.zeros((0, 1), dtype=np.uint64)
                 sides.append((np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))], n, label, cls, bits))
             (at, n, label, cls, bits), (at2, n2, label2, cls2, bits2) = sides
-            hs, us, vs = [], [], []
+            held, waiting = [], 0
             for k, h in enumerate(batch.column(0).to_pylist()):
                 x, y = slice(at[k], at[k + 1]), slice(at2[k], at2[k + 1])
                 a = SignatureTree(n[x], label[x], bits[x])
@@ -255,17 +257,16 @@ def _tree_pairs(blocks: DataFrame, percent: int, full: bool) -> DataFrame:
                 if not full and len(i) > 4 * (len(n[x]) + len(other)):
                     best = _best(i, j, top)
                     i, j = i[best], j[best]
-                    us.append(np.array([None]))
-                    vs.append(np.array([None]))
-                    hs.append([h])
+                    held.append(pa.RecordBatch.from_arrays([pa.array([v], type=pa.int64()) for v in (h, None, None)], schema=schema))
                 if len(i):
                     u, v = cls[x][i], other[j]
-                    us.append(np.minimum(u, v))
-                    vs.append(np.maximum(u, v))
-                    hs.append(np.full(len(i), h, dtype=np.int64))
-            if hs:
-                columns = [[z for part in parts for z in (part.tolist() if isinstance(part, np.ndarray) else part)] for parts in (hs, us, vs)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], schema=schema)
+                    held.append(pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(i), h, dtype=np.int64), np.minimum(u, v), np.maximum(u, v))], schema=schema))
+                    waiting += len(i)
+                if waiting > PAIRS:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=PAIRS)
+                    held, waiting = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches(max_chunksize=PAIRS)
             pa.default_memory_pool().release_unused()
 
     return blocks.mapInArrow(run, "h long, u long, v long")
