@@ -7,11 +7,15 @@ compacts the arrays; words in which no pair has a rank leave. Merging all
 occurrences of a pair at once equals merging one by one from the left unless
 the merged piece can take part in a better pair; the vocabulary tells which
 pieces can, and of those only the leftmost occurrence merges in a round.
+Rounds of a word grow with its distinct pairs and each touches the whole word,
+so words beyond LONG symbols take their merges from a heap instead, in the same
+order: least rank first, leftmost first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections import Counter
 
@@ -22,6 +26,8 @@ from plumbline.llm._common import fill, map_text, pick, texts
 
 SPACE = "▁"
 _NONE = np.int64(1) << 40
+#: Symbols of a word from which a heap is quicker than rounds over the whole word.
+LONG = 2000
 _RUNS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -63,6 +69,7 @@ class PieceBpe:
         self.merged = np.array(merged, dtype=np.int64)[by]
         #: No piece spans a line feed: words may end there.
         self.lines = not any("\n" in p and len(p) > 1 for p in normal)
+        self.by_key: dict[int, tuple[int, int]] | None = None
         self.risky = np.zeros(len(order) + 1, dtype=bool)
         self.risky[list(risky)] = True
 
@@ -86,6 +93,12 @@ class PieceBpe:
         distinct, back = np.unique(points, return_inverse=True)
         sym = np.array([self.char.get(chr(c), self.n + int(c)) for c in distinct], dtype=np.int64)[back]
         word = np.repeat(np.arange(len(words)), lengths)
+        if len(long := np.flatnonzero(lengths > LONG)):
+            ends = np.cumsum(lengths)
+            for w in long.tolist():
+                out[w] = self._ids(self._merged_by_heap(sym[ends[w] - lengths[w] : ends[w]]))
+            stay = np.repeat(lengths <= LONG, lengths)
+            sym, word = sym[stay], word[stay]
         rank = np.full(len(sym), _NONE)
         into = np.zeros(len(sym), dtype=np.int64)
         same = np.flatnonzero(word[:-1] == word[1:])
@@ -120,6 +133,31 @@ class PieceBpe:
             rank[near], into[near] = self._pairs(sym[near], sym[near + 1])
         return out
 
+    def _merged_by_heap(self, sym: np.ndarray) -> np.ndarray:
+        """Symbols of one word after all merges, taken one by one: n log n in its length."""
+        if self.by_key is None:
+            self.by_key = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True))
+        n, s, known = len(sym), sym.tolist(), self.by_key
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank, into = self._pairs(sym[:-1], sym[1:])
+        at = np.flatnonzero(rank != _NONE)
+        heap = list(zip(rank[at].tolist(), at.tolist(), sym[at].tolist(), sym[at + 1].tolist(), into[at].tolist(), strict=True))
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b, piece = heapq.heappop(heap)
+            j = after[i]
+            if s[i] != a or j >= n or s[j] != b:
+                continue  # one of the two has merged since
+            s[i], s[j] = piece, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (got := known.get(s[left] << 32 | s[right])):
+                    heapq.heappush(heap, (got[0], left, s[left], s[right], got[1]))
+        left = np.array(s, dtype=np.int64)
+        return left[left >= 0]
+
     def _ids(self, sym: np.ndarray) -> list[int]:
         ids = sym.tolist()
         if max(ids) < self.n:

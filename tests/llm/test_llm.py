@@ -204,6 +204,20 @@ def test_bands_meet_within_the_radius():
     assert media.RADIUS == 15 and {(k, k) for k in range(300)} <= set(zip(i.tolist(), j.tolist(), strict=True))
 
 
+def test_long_words_equal_the_library():
+    import random
+    import string
+
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own, rng = sentencepiece.SentencePieceProcessor(model_file=path), piece_bpe.PieceBpe(path), random.Random(3)
+    blob = "".join(rng.choices(string.ascii_letters + string.digits + "+/", k=100_000))
+    words = "".join(rng.choices(["the", "re", "information", "é", "数", "🙂", "\n", "==", "a"], k=20_000))
+    for text in (blob, words, " " * 30_000, "ab " + " " * 5_000 + blob[:3_000], "a" * 50_001, "=" * 4_001 + " end", blob[: piece_bpe.LONG - 1], blob[: piece_bpe.LONG]):
+        assert own.encode(text) == library.encode(text)
+
+
 def test_pictures_show_every_number():
     long = list(range(100))
     assert media.picture_of(long) != media.picture_of([*long[:-1], 5]) and media.decode_image(media.picture_of(long)).shape == (80, 80)
