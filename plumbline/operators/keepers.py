@@ -6,15 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.fits import line_fit
-from plumbline.operators.graph import checkpointer, first_claim
-from plumbline.operators.joins import ball_join
+from plumbline.operators.graph import checkpointer, first_claim, greedy_keepers
+from plumbline.operators.joins import ball_join, finite
 
 
 def seed_groups(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
     """Points, in order of key, join a seed within ``radius`` or become one (groups are balls, not chains). Returns key and keeper."""
-    a = points.select(F.col(key).alias("keeper"), F.col(x).alias("_ax"), F.col(y).alias("_ay"))
-    b = points.select(F.col(key).alias("row"), F.col(x).alias("_bx"), F.col(y).alias("_by"))
-    return first_claim(points, key, ball_join(a, b, "_ax", "_ay", "_bx", "_by", radius).where("keeper < row"))
+    return ball_keepers(points, key, x, y, radius)
+
+
+def ball_keepers(points: DataFrame, key: str, x: str, y: str, radius: float, by: list[str] = ()) -> DataFrame:
+    """Points, in order of key, are kept unless a kept earlier one of equal ``by`` lies within ``radius``. Returns key and keeper (the first such)."""
+
+    def near(a, b):
+        # The keepers meet their 3 x 3 cells, as they are fewer.
+        k = a.select(F.col("_pos").alias("keeper"), F.col(x).alias("_ax"), F.col(y).alias("_ay"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+        r = b.select(F.col("_pos").alias("row"), F.col(x).alias("_bx"), F.col(y).alias("_by"), *by)
+        return ball_join(r, k, "_bx", "_by", "_ax", "_ay", radius, by=[(c, f"_by{i}") for i, c in enumerate(by)])
+
+    able = finite(x, y)
+    for c in by:
+        able = able & F.col(c).isNotNull()
+    return greedy_keepers(points, key, [*by, x, y], ["_first"], near, able)
 
 
 def box_keepers(boxes: DataFrame, key: str, box: tuple[str, str, str, str], cell: float, above: float = 0.5) -> DataFrame:
