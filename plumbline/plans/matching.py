@@ -28,9 +28,8 @@ def band_join_price(t):
 @query("""SELECT a.p_partkey, b.p_partkey AS other, round(sqrt(power(a.p_size - b.p_size, 2) + power(a.p_retailprice - b.p_retailprice, 2)), 4) AS distance FROM part a JOIN part b ON a.p_partkey < b.p_partkey
   WHERE a.p_brand = b.p_brand AND sqrt(power(a.p_size - b.p_size, 2) + power(a.p_retailprice - b.p_retailprice, 2)) <= 3""")
 def ball_join_parts(t):
-    a = t("part").selectExpr("p_partkey", "p_brand", "cast(p_size as double) ax", "p_retailprice ay")
-    b = t("part").selectExpr("p_partkey other", "p_brand brand", "cast(p_size as double) bx", "p_retailprice by_")
-    near = joins.ball_join(a, b, "ax", "ay", "bx", "by_", 3.0).where("p_partkey < other and p_brand = brand")
+    p = t("part").selectExpr("p_partkey", "p_brand", "cast(p_size as double) x", "p_retailprice y")
+    near = joins.ball_pairs(p, "p_partkey", "x", "y", 3.0, ["p_brand"])
     return near.select("p_partkey", "other", F.round("distance", 4).alias("distance"))
 
 

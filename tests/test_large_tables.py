@@ -55,3 +55,16 @@ def test_keepers_in_batches(spark):
 
     got = graph.greedy_keepers(df, "k", ["x", "y"], ["_first"], near, F.lit(True), first=20)
     assert {r.k: r.keeper for r in got.collect()} == in_order(points, within(2.0))
+
+
+def test_ball_pairs_of_copies(spark):
+    rng = random.Random(9)
+    places = [(rng.choice("ab"), float(rng.randrange(9)), rng.randrange(90) / 10) for _ in range(60)]
+    points = [(i, *places[i % 60 if i < 900 else 0]) for i in range(3300)]  # one place has 2,415 points
+    odd = [(10**6, None, 1.0, 1.0), (10**6 + 1, "a", None, 1.0), (10**6 + 2, "a", math.nan, 1.0), (10**6 + 3, "a", math.nan, 1.0), (10**6 + 4, "a", math.inf, 1.0), (None, "a", 1.0, 1.0)]
+    df = spark.createDataFrame(points + odd, "k int, g string, x double, y double")
+    got = joins.ball_pairs(df, "k", "x", "y", 1.5, ["g"])
+    assert "Broadcast" not in plan(got)
+    got = got.agg(F.count("*"), F.count_distinct("k", "other"), F.sum(F.col("k").cast("long") * F.col("other")), F.max(F.col("k") >= F.col("other")), F.round(F.sum("distance"), 3)).first()
+    near = [(a, b, d) for a, b in ((a, b) for i, a in enumerate(points) for b in points[i + 1 :]) if a[1] == b[1] and (d := math.hypot(a[2] - b[2], a[3] - b[3])) <= 1.5]
+    assert tuple(got) == (len(near), len(near), sum(a[0] * b[0] for a, b, _ in near), False, pytest.approx(sum(d for *_, d in near), abs=0.01))
