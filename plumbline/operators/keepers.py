@@ -33,18 +33,24 @@ def ball_keepers(points: DataFrame, key: str, x: str, y: str, radius: float, by:
 def box_keepers(boxes: DataFrame, key: str, box: tuple[str, str, str, str], cell: float, above: float = 0.5) -> DataFrame:
     """Boxes, the largest first (smaller key on ties), are kept unless a kept one overlaps them by more than ``above`` of the union.
 
-    Returns key and keeper. Boxes meet in cells of size ``cell``, in the cell of their common lower corner only.
+    Returns key and keeper (the first such). Boxes meet in cells of size ``cell``, in the cell of their common lower corner only.
     """
     x0, y0, x1, y1 = (F.col(c) for c in box)
-    b = boxes.select(F.col(key).alias("k"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), ((x1 - x0) * (y1 - y0)).alias("area")).where("x1 > x0 and y1 > y0")
+    area = (x1 - x0) * (y1 - y0)
     spread = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    cells = b.withColumn("i", spread("x0", "x1")).withColumn("j", spread("y0", "y1"))
-    other = cells.select(*[F.col(c).alias(c if c in "ij" else f"_{c}") for c in cells.columns])
-    left, low = F.greatest("x0", "_x0"), F.greatest("y0", "_y0")
-    common = F.greatest(F.lit(0.0), F.least("x1", "_x1") - left) * F.greatest(F.lit(0.0), F.least("y1", "_y1") - low)
-    pairs = cells.join(other, ["i", "j"]).where("area > _area or (area = _area and k < _k)").where((F.col("i") == F.floor(left / cell)) & (F.col("j") == F.floor(low / cell)))
-    claims = pairs.where(common > above * (F.col("area") + F.col("_area") - common)).select(F.col("k").alias("keeper"), F.col("_k").alias("row"))
-    return first_claim(boxes, key, claims)
+    names = ["x0", "y0", "x1", "y1"]
+
+    def near(a, b):
+        cells = [df.select("_pos", *[F.col(c).alias(n) for c, n in zip(box, names, strict=True)], area.alias("area")).withColumn("i", spread("x0", "x1")).withColumn("j", spread("y0", "y1")) for df in (a, b)]
+        other = cells[1].select(*[F.col(c).alias(c if c in "ij" else f"_{c}") for c in cells[1].columns]).hint("merge")
+        left, low = F.greatest("x0", "_x0"), F.greatest("y0", "_y0")
+        common = F.greatest(F.lit(0.0), F.least("x1", "_x1") - left) * F.greatest(F.lit(0.0), F.least("y1", "_y1") - low)
+        pairs = cells[0].join(other, ["i", "j"]).where((F.col("i") == F.floor(left / cell)) & (F.col("j") == F.floor(low / cell)))
+        return pairs.where(common > above * (F.col("area") + F.col("_area") - common)).select(F.col("_pos").alias("keeper"), F.col("__pos").alias("row"))
+
+    able = finite(*box) & F.coalesce((x1 > x0) & (y1 > y0), F.lit(False))
+    # With ``above`` of 1 or more equal boxes do not claim each other.
+    return greedy_keepers(boxes, key, [*box] if above < 1 else [*box, key], [area.desc(), "_first"], near, able)
 
 
 def chain_keepers(points: DataFrame, chain: str, x: str, y: str, length: str, tol: float, share: float = 0.8) -> DataFrame:

@@ -77,3 +77,19 @@ def test_claims_within_a_group_in_order(spark):
     df = spark.createDataFrame(points + odd, "k int, x double, y double, g string")
     near = lambda a, b: a[3] == b[3] and within(2.0)(a, b)
     assert {r.k: r.keeper for r in keepers.ball_keepers(df, "k", "x", "y", 2.0, ["g"]).collect()} == in_order(points, near) | {k: k for k, *_ in odd}
+
+
+@pytest.mark.parametrize("above", [0.3, 0.5, 1.0])
+def test_box_keepers_in_order(spark, above):
+    rng = random.Random(11)
+    boxes = [(i, x := float(rng.randrange(30)), y := float(rng.randrange(30)), x + rng.randrange(0, 9), y + rng.randrange(1, 9)) for i in range(300)]
+    boxes += [(300 + i, *boxes[i % 300][1:]) for i in range(600)]
+    odd = [(10**6, None, 0.0, 1.0, 1.0), (10**6 + 1, 0.0, 0.0, math.nan, 1.0), (10**6 + 2, 0.0, 0.0, math.inf, 1.0)]
+    size = lambda b: (b[3] - b[1]) * (b[4] - b[2])
+
+    def near(a, b):
+        both = max(0, min(a[3], b[3]) - max(a[1], b[1])) * max(0, min(a[4], b[4]) - max(a[2], b[2]))
+        return both > above * (size(a) + size(b) - both)
+
+    got = keepers.box_keepers(spark.createDataFrame(boxes + odd, "k int, x0 double, y0 double, x1 double, y1 double"), "k", ("x0", "y0", "x1", "y1"), 5.0, above).collect()
+    assert {r.k: r.keeper for r in got} == in_order(sorted(boxes, key=lambda b: (-size(b), b[0])), near) | {k: k for k, *_ in odd}
