@@ -67,6 +67,13 @@ def best_row(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFra
     return df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def lowest(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
+    """by, key of the row with the lowest value of each group, the smallest key on ties; rows without a value do not count."""
+    best = F.min(F.when(F.col(key).isNotNull(), F.struct(F.col(value).alias("v"), F.col(key).alias("k")))).alias("_b")
+    low = F.min(value).alias("_m")
+    return df.where(F.col(value).isNotNull()).groupBy(*by).agg(best, low).select(*by, F.when(F.col("_b.v") == F.col("_m"), F.col("_b.k")).alias(key))
+
+
 def weighted_centroid(df: DataFrame, by: list[str], x: str, y: str, weight: str) -> DataFrame:
     s = F.sum(weight)
     return df.groupBy(*by).agg((F.sum(F.col(weight) * F.col(x)) / s).alias("cx"), (F.sum(F.col(weight) * F.col(y)) / s).alias("cy"))

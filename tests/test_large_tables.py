@@ -115,3 +115,24 @@ def test_components_of_copies_need_few_edges(spark, tmp_path):
     got = {r.node: r.component for r in QUERIES["components"](spark, str(tmp_path)).collect()}
     assert got == label
     assert graphs._edges(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")).count() < 3 * len(s + c) < len(edges)
+
+
+def test_best_row_skips_unknown_values(spark, tmp_path):
+    import duckdb
+
+    from plumbline.catalogue import ORACLES, QUERIES
+
+    rows = [("a", 3, None), ("a", 5, 1.0), ("a", 6, 2.0), ("b", 1, None), (None, 9, 4.0), (None, 8, 5.0), ("c", None, 1.0), ("c", 2, 3.0), ("d", 7, math.nan), ("e", None, 2.0), ("e", 4, 2.0)]
+    spark.createDataFrame(rows, "event_type string, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = set(con.execute(ORACLES["best_row"]).fetchall())
+    got = {(r.event_type, r.lowest) for r in QUERIES["best_row"](spark, str(tmp_path)).collect()}
+    assert got == want == {("a", 5), (None, 9), ("c", None), ("d", 7), ("e", 4)}
+
+
+def test_best_row_takes_the_smallest_of_tied_rows(spark, tmp_path):
+    from plumbline.catalogue import QUERIES
+
+    spark.range(99, 0, -1).selectExpr("'a' event_type", "id event_id", "cast(id div 50 as double) value").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in QUERIES["best_row"](spark, str(tmp_path)).collect()] == [("a", 1)]
