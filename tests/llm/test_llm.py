@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -171,6 +172,23 @@ def test_jaccard(spark, odd, empty):
     assert jaccard_join.jaccard_components(odd).count() == len(ODD) and jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_bitmaps_reach_the_driver_as_arrays(spark):
+    """Every word of a bitmap is set: 524,288 rows, which as Row objects take over 100 MB."""
+    words = 1 << (jaccard_join.BITMAP - 6)
+    tokens = spark.range(-words // 2, words // 2).selectExpr("case when id % 3 = 0 then null else id * 64 + pmod(id, 64) end as h")
+    tracemalloc.start()
+    try:
+        got = jaccard_join._mark(tokens, "h")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    ids = np.arange(-words // 2, words // 2)
+    true = np.where(ids % 3 == 0, np.uint64(0), np.uint64(1) << (ids % 64).astype(np.uint64))
+    assert (got == np.roll(true, words // 2)).all()  # negative numbers end in the upper half
+    assert peak < 50_000_000
+    assert jaccard_join._mark(tokens.where("h is null"), "h") is None
+
+
 def test_trees_prune_nothing_that_links():
     rng = np.random.RandomState(0)
     sets = [np.unique(rng.randint(0, 1 << 62, 200).astype(np.uint64)) for _ in range(40)]
