@@ -13,6 +13,20 @@ def islands(df: DataFrame, by: list[str], order: list[str], breaks: Column, name
     return df.withColumn("_new", F.coalesce(breaks, F.lit(False)).cast("int")).withColumn(name, F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("long")).drop("_new")
 
 
+def band_runs(df: DataFrame, by: list[str], value: str, left: Column, right: Column, tol: float, name: str = "run") -> DataFrame:
+    """Number the components of left and right rows that link within ``tol``, without their pairs; ``value`` is unique in a group.
+
+    A row between two linked ones links to one of them, so components are runs in order of value: a run goes on past
+    a gap if the last row of one side before it links to the first row of the other side after it. Rows without links are runs alone.
+    """
+    w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    back = W.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, 0)
+    own = {"_l": F.when(left, F.col(value)), "_r": F.when(right, F.col(value))}
+    ends = df.withColumns(own).withColumns({"_l0": F.max("_l").over(w), "_r0": F.max("_r").over(w), "_l1": F.min("_l").over(back), "_r1": F.min("_r").over(back)})
+    near = lambda a, b: F.coalesce(F.col(b) - F.col(a) <= tol, F.lit(False))
+    return islands(ends, by, [value], ~(near("_l0", "_r1") | near("_r0", "_l1")), name).drop("_l", "_r", "_l0", "_r0", "_l1", "_r1")
+
+
 def interval_union(df: DataFrame, by: list[str], lo: str, hi: str, gap: Column | float = 0) -> DataFrame:
     """Merged intervals of each group; gaps up to ``gap`` are bridged. Returns by, lo, hi, pieces."""
     w = W.partitionBy(*by).orderBy(lo, hi)

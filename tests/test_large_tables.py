@@ -2,6 +2,7 @@
 
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,35 @@ def test_components_of_copies_need_few_edges(spark, tmp_path):
     assert graphs._edges(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")).count() < 3 * len(s + c) < len(edges)
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_components_make_no_pairs(spark, tmp_path, shared):
+    import duckdb
+
+    from plumbline.catalogue import ORACLES, QUERIES
+    from plumbline.plans import graphs
+
+    rng = random.Random(13)
+    s = [(i, rng.randrange(3), rng.randrange(12000) / 10) for i in range(90)] + [(90 + i, 3, i / 10) for i in range(90)]  # nation 3 has all pairs
+    c = [(i, rng.randrange(3), rng.randrange(12000) / 10) for i in range(120)] + [(120 + i, 3, 3 + i / 10) for i in range(90)]
+    s += [(200, 4, 0.1), (201, 4, 60.0), (202, 4, 20.3), (203, None, 0.1), (204, 4, None), (205, 4, math.nan), (206, 4, math.inf)]
+    c += [(300, 4, 20.1), (301, 4, 80.00000000000001), (302, None, 0.1), (303, 4, None), (304, 4, math.nan), (305, 4, -math.inf)]
+    if shared:  # rows of one key are one node
+        s += [(1000000 + k, rng.randrange(4), rng.randrange(12000) / 10) for k in (5, 17, 29)] + [(k, rng.randrange(4), rng.randrange(900) / 10) for k in (3, 3, 44, 7)]
+    spark.createDataFrame(s, "s_suppkey long, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(c, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLES["components"]).fetchall())
+    graph.checkpointer(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = set(folder.glob("*"))
+    got = sorted(tuple(r) for r in QUERIES["components"](spark, str(tmp_path)).collect())
+    assert got == want and len({low for _, low in want}) > 9
+    assert shared or set(folder.glob("*")) <= before  # no rounds
+    assert graphs._edges(lambda t: spark.read.parquet(f"{tmp_path}/{t}.parquet")).count() <= len(s + c)
+
+
 def test_best_row_skips_unknown_values(spark, tmp_path):
     import duckdb
 
